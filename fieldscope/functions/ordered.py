@@ -99,3 +99,17 @@ def next_row(df: DataFrame, keys: Sequence[str], order: Column, block: Column, v
         .withColumn(out, F.coalesce("_near", "_after"))
         .drop("_blk", "_v", "_o", "_near", "_after")
     )
+
+
+def top_k(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], spread: Sequence[str], k: int, out: str = "rank", slices: int = 64
+) -> DataFrame:
+    """First ``k`` rows per key in ``order``.
+
+    Each key is cut into hash slices of ``spread`` first, so the final window
+    sees at most ``k * slices`` rows of it.
+    """
+    d = df.withColumn("_slice", F.pmod(F.xxhash64(*spread), F.lit(slices)))
+    near = d.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))).where(F.col("_r") <= k)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return near.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k).drop("_slice", "_r")

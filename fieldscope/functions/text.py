@@ -61,14 +61,20 @@ def index_part(part: Column) -> Column:
 
 def runs_of(sorted_ints: Column) -> Column:
     """Contiguous runs of a sorted distinct int array as array<struct<a,b>>."""
-    starts = F.filter(sorted_ints, lambda x: ~F.array_contains(sorted_ints, x - 1))
-    ends = F.filter(sorted_ints, lambda x: ~F.array_contains(sorted_ints, x + 1))
-    return F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda p: F.struct(p["s"].alias("a"), p["e"].alias("b")))
+
+    def grow(acc, x):
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.array(F.struct(last["a"].alias("a"), x.alias("b")))
+        return F.when(last["b"] == x - 1, F.concat(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(
+            F.concat(acc, F.array(F.struct(x.alias("a"), x.alias("b"))))
+        )
+
+    return F.aggregate(sorted_ints, F.array().cast("array<struct<a:int,b:int>>"), grow)
 
 
 def index_groups(idx: Column) -> Column:
     """Contiguous byte runs of every ``;`` part, in order."""
-    parts = F.filter(F.transform(F.split(F.coalesce(idx, F.lit("")), ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(idx, F.lit("")), ";"), lambda x: F.trim(x)), lambda p: p != "")
     return F.flatten(F.transform(parts, lambda p: runs_of(index_part(p))))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldscope.functions.ordered import line_block, number_rows, running_sums
+from fieldscope.functions.ordered import line_block, number_rows, running_sums, top_k
 from fieldscope.functions.ranks import value_ranks
 from fieldscope.functions.text import index_plain
 from fieldscope.operators.trace import after_first_taint
@@ -66,15 +66,7 @@ def top_blocks(events: DataFrame, k: int = 10) -> DataFrame:
         after_first_taint(events).where(F.col("kind") == "BasicBlock")
         .groupBy("run_id", "addr").agg(F.count(F.lit(1)).alias("executions"))
     )
-    # Top k per hash slice first, so that one run with very many blocks is split.
-    salted = counts.withColumn("_slice", F.pmod(F.xxhash64("addr"), F.lit(64)))
-    order = [F.desc("executions"), F.asc("addr")]
-    part = salted.withColumn("_r", F.row_number().over(Window.partitionBy("run_id", "_slice").orderBy(*order)))
-    w = Window.partitionBy("run_id").orderBy(*order)
-    return (
-        part.where(F.col("_r") <= k).withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k).drop("_slice", "_r")
-    )
+    return top_k(counts, ["run_id"], [F.desc("executions"), F.asc("addr")], ["addr"], k)
 
 
 def suffix_capacity(events: DataFrame, fields: DataFrame) -> DataFrame:
@@ -272,10 +264,7 @@ def differing_blocks(events: DataFrame, pairs: DataFrame, k: int = 10) -> DataFr
     )
     d = mine.unionByName(theirs).groupBy("base_id", "run_id", "addr").agg(F.sum("base").alias("base_count"), F.sum("other").alias("mutation_count"))
     d = d.withColumn("diff", F.abs(F.col("base_count") - F.col("mutation_count"))).where(F.col("diff") > 0)
-    order = [F.desc("diff"), F.asc("addr")]
-    d = d.withColumn("_s", F.pmod(F.xxhash64("addr"), F.lit(64)))
-    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("base_id", "run_id", "_s").orderBy(*order))).where(F.col("_r") <= k)
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("base_id", "run_id").orderBy(*order))).where(F.col("rank") <= k).drop("_s", "_r")
+    return top_k(d, ["base_id", "run_id"], [F.desc("diff"), F.asc("addr")], ["addr"], k)
 
 
 # --- summaries over the mutations of a field --------------------------------

@@ -108,13 +108,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("run_id"), "event_id", "event_type", "ts",
-        F.expr(_K).alias("k"),
+    e = (
+        table(spark, sf_dir, "events").withColumn("k", F.expr(_K))
+        .select(F.col("user_id").alias("run_id"), "event_id", "ts", F.expr(_LINE).alias("line"))
     )
     minute = F.expr("unix_date(CAST(ts AS DATE)) * 1440 + hour(ts) * 60 + minute(ts)").cast("long")
     numbered = number_rows(e, ["run_id"], [F.col("ts"), F.col("event_id")], minute, "line_no")
-    return numbered.select("run_id", F.col("line_no").cast("int"), F.expr(_LINE).alias("line"))
+    return numbered.select("run_id", F.col("line_no").cast("int"), "line")
 
 
 _TRACE_SQL = f"""
