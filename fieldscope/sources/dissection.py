@@ -25,9 +25,14 @@ def packet_schema(depth: int = 8) -> T.StructType:
     return T.StructType([T.StructField("proto", T.ArrayType(proto))])
 
 
-def read_packets(spark: SparkSession, paths: str, depth: int = 8) -> DataFrame:
-    """One row per packet with its number and protocol chain; the tree is read to ``depth`` levels."""
-    d = spark.read.format("xml").option("rowTag", "packet").option("recursiveFileLookup", "true").schema(packet_schema(depth)).load(paths)
+def read_packets(spark: SparkSession, paths: str, depth: int = 8, one_per_line: bool = False) -> DataFrame:
+    """One row per packet with its number and protocol chain; the tree is read to ``depth`` levels.
+
+    A document with one root is streamed by a single task per file.  Files with one
+    packet per line (``one_per_line``) are split like any text file; write large
+    captures in that form.
+    """
+    d = spark.read.format("xml").option("rowTag", "packet").option("multiLine", str(not one_per_line).lower()).option("recursiveFileLookup", "true").schema(packet_schema(depth)).load(paths)
     field_of = lambda proto, field: F.get(
         F.filter(F.flatten(F.transform(F.filter("proto", lambda p: p["_name"] == proto), lambda p: F.coalesce(p["field"], F.array()))), lambda f: f["_name"] == field),
         F.lit(0),
@@ -80,5 +85,7 @@ def flatten_fields(protocols: DataFrame, depth: int = 8) -> DataFrame:
     return out
 
 
-def read_dissection(spark: SparkSession, paths: str, depth: int = 8, only: str | None = None) -> DataFrame:
-    return flatten_fields(selected_protocols(read_packets(spark, paths, depth), only), depth)
+def read_dissection(
+    spark: SparkSession, paths: str, depth: int = 8, only: str | None = None, one_per_line: bool = False
+) -> DataFrame:
+    return flatten_fields(selected_protocols(read_packets(spark, paths, depth, one_per_line), only), depth)
