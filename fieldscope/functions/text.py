@@ -20,9 +20,21 @@ def _ints(found: Column) -> Column:
     return F.transform(found, lambda x: x.try_cast("int"))
 
 
+# Most index texts are plain lists, which need no pattern search.
+_LIST = "^[0-9]+(,[0-9]+)*$"
+
+
+def _listed(idx: Column) -> Column:
+    return F.array_distinct(_ints(F.split(idx, ",")))
+
+
+def _numbers(text: Column) -> Column:
+    return F.array_distinct(_ints(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\d+)"), 1)))
+
+
 def index_plain(idx: Column) -> Column:
     """Numbers of an index text, distinct; ranges are not expanded."""
-    return F.array_distinct(_ints(F.regexp_extract_all(F.coalesce(idx, F.lit("")), F.lit(r"(\d+)"), 1)))
+    return F.when(idx.rlike(_LIST), _listed(idx)).otherwise(_numbers(idx))
 
 
 def _expand(text: Column, pattern: str) -> Column:
@@ -45,7 +57,8 @@ def index_expanded(idx: Column) -> Column:
     text = F.coalesce(idx, F.lit(""))
     paren = _expand(text, r"\((\d+)\s*[,:\-]\s*(\d+)\)")
     dash = _expand(text, r"(\d+)\s*-\s*(\d+)")
-    return F.array_sort(F.array_distinct(F.concat(paren, dash, index_plain(text))))
+    ranged = F.array_sort(F.array_distinct(F.concat(paren, dash, _numbers(text))))
+    return F.when(idx.rlike(_LIST), F.array_sort(_listed(idx))).otherwise(ranged)
 
 
 def index_part(part: Column) -> Column:
@@ -55,7 +68,7 @@ def index_part(part: Column) -> Column:
         F.least(F.regexp_extract(part, paren, 1).try_cast("int"), F.regexp_extract(part, paren, 2).try_cast("int")),
         F.greatest(F.regexp_extract(part, paren, 1).try_cast("int"), F.regexp_extract(part, paren, 2).try_cast("int")),
     )
-    open_form = F.array_sort(F.array_distinct(F.concat(_expand(part, r"\b(\d+)\s*-\s*(\d+)\b"), index_plain(part))))
+    open_form = F.array_sort(F.array_distinct(F.concat(_expand(part, r"\b(\d+)\s*-\s*(\d+)\b"), _numbers(part))))
     return F.when(part.rlike(paren), only).otherwise(open_form)
 
 
@@ -75,7 +88,8 @@ def runs_of(sorted_ints: Column) -> Column:
 def index_groups(idx: Column) -> Column:
     """Contiguous byte runs of every ``;`` part, in order."""
     parts = F.filter(F.transform(F.split(F.coalesce(idx, F.lit("")), ";"), lambda x: F.trim(x)), lambda p: p != "")
-    return F.flatten(F.transform(parts, lambda p: runs_of(index_part(p))))
+    general = F.flatten(F.transform(parts, lambda p: runs_of(index_part(p))))
+    return F.when(idx.rlike(_LIST), runs_of(F.array_sort(_listed(idx)))).otherwise(general)
 
 
 # Operand values are unsigned 64-bit.

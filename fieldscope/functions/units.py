@@ -182,16 +182,32 @@ def _bump(high: Column, up: bool) -> Column:
     )
 
 
+def bind(value: Column, fn) -> Column:
+    """fn(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), lambda v: fn(v)), F.lit(0))
+
+
 def hex_add(value: Column, delta: int, width_bits: Column) -> Column:
     """value + delta modulo 2^width for a fixed-width hex value and |delta| < 2^31."""
-    size = F.length(value)
-    low_size = F.least(size, F.lit(12))
-    high = F.substring(value, F.lit(1), size - low_size)
-    low = F.conv(F.substring(value, -low_size, low_size), 16, 10).cast("long") + F.lit(delta)
-    span = shift_left(F.lit(1).cast("long"), low_size * 4)
-    digits = F.lpad(F.lower(F.hex(F.pmod(low, span))), low_size, "0")
-    moved = F.when(size == low_size, high).when(low < 0, _bump(high, False)).when(low >= span, _bump(high, True)).otherwise(high)
-    return mask_hex(F.concat(moved, digits), width_bits)
+
+    def narrow(v):
+        mask = shift_left(F.lit(1).cast("long"), width_bits) - 1
+        total = (F.conv(v, 16, 10).cast("long") + F.lit(delta)).bitwiseAND(mask)
+        return F.lpad(F.lower(F.hex(total)), F.length(v), "0")
+
+    def wide(v):
+        # The low 12 digits are a number, the rest only moves on a carry.
+        cut = F.length(v) - 12
+        span = F.lit(1 << 48)
+        high = F.substring(v, F.lit(1), cut)
+
+        def join(low):
+            moved = F.when(low < 0, _bump(high, False)).when(low >= span, _bump(high, True)).otherwise(high)
+            return mask_hex(F.concat(moved, F.lpad(F.lower(F.hex(F.pmod(low, span))), 12, "0")), width_bits)
+
+        return bind(F.conv(F.substring(v, -12, 12), 16, 10).cast("long") + F.lit(delta), join)
+
+    return bind(value, lambda v: F.when(F.length(v) <= 15, narrow(v)).otherwise(wide(v)))
 
 
 def mask_hex(value: Column, width_bits: Column) -> Column:

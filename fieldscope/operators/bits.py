@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fieldscope.functions.ordered import line_block, next_row
 from fieldscope.functions.text import hex_value, index_plain, operand_pairs, runs_of
-from fieldscope.functions.units import shift_left, shift_right, span_label
+from fieldscope.functions.units import bind, shift_left, shift_right, span_label
 from fieldscope.operators.trace import after_first_taint, branch_outcome
 
 # Fixed event kinds.
@@ -46,9 +46,8 @@ def resolve_field(trace: DataFrame, fields: DataFrame) -> DataFrame:
     d = trace.join(names, "run_id").withColumn("_tokens", tokens).withColumn("_spans", spans)
     exact = F.filter("_fields", lambda f: F.array_contains("_tokens", f["field_id"]))
     near = F.filter("_fields", lambda f: F.exists("_spans", lambda n: (F.array_min(n) == f["a"]) & (F.array_max(n) == f["b"])))
-    d = d.withColumn("_e", exact).withColumn("_n", near)
-    hit = F.when(F.size("_e") == 1, F.get("_e", F.lit(0))).when(F.size("_n") == 1, F.get("_n", F.lit(0)))
-    d = d.withColumn("_h", hit).where(F.col("_h").isNotNull())
+    only = lambda found: bind(found, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))
+    d = d.withColumn("_h", F.coalesce(only(exact), only(near))).where(F.col("_h").isNotNull())
     return d.select(
         *trace.columns, F.col("_h.field_id").alias("field_id"), ((F.col("_h.b") - F.col("_h.a") + 1) * 8).alias("width")
     )
@@ -154,17 +153,18 @@ def bit_constraint(bits: Column, op: Column, value: Column, explicit_mask: Colum
     size, lo = F.size(bits), F.array_min(bits)
     hi = F.array_max(bits)
     tight = hi - lo + 1 == size
-    own = bits_mask_hex(bits)
-    given = F.lower(F.hex(explicit_mask)) if explicit_mask is not None else F.lit(None).cast("string")
-    mask_text = F.coalesce(given, own)
-    bare = F.regexp_replace(own, "^0+(?=.)", "")
-    mask_long = F.conv(F.substring(own, -16, 16), 16, -10).cast("long") if explicit_mask is None else F.coalesce(
-        explicit_mask, F.conv(F.substring(own, -16, 16), 16, -10).cast("long")
+    one = F.lit(1).cast("long")
+    summed = F.when(tight, shift_left(shift_left(one, size) - 1, lo)).otherwise(
+        F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(shift_left(one, b)))
     )
+    own_long = F.when(hi <= 62, summed).otherwise(F.conv(F.substring(bits_mask_hex(bits), -16, 16), 16, -10).cast("long"))
+    mask_long = own_long if explicit_mask is None else F.coalesce(explicit_mask, own_long)
+    own_text = F.when(hi <= 62, F.lower(F.hex(summed))).otherwise(F.regexp_replace(bits_mask_hex(bits), "^0+(?=.)", ""))
+    mask_text = own_text if explicit_mask is None else F.coalesce(F.lower(F.hex(explicit_mask)), own_text)
     fits = (value >= 0) & ((size >= 63) | (value < shift_left(F.lit(1).cast("long"), size)))
     inner = F.when(~tight | fits, value).otherwise(shift_right(value.bitwiseAND(mask_long), lo))
     name = bits_name(bits)
-    plain_span = tight & (F.regexp_replace(mask_text, "^0+(?=.)", "") == bare)
+    plain_span = tight & (F.lit(True) if explicit_mask is None else (explicit_mask.isNull() | (explicit_mask == own_long)))
     eq = (
         F.when(size == 1, F.concat(name, F.lit(" == "), inner.bitwiseAND(1).cast("string")))
         .when(plain_span, F.concat(name, F.lit(" == "), inner.cast("string")))
@@ -173,7 +173,7 @@ def bit_constraint(bits: Column, op: Column, value: Column, explicit_mask: Colum
     nonzero = F.when(size == 1, F.concat(name, F.lit(" == 1"))).otherwise(F.concat(name, F.lit(" != 0")))
     sub = F.when(op == "zero", F.concat(name, F.lit(" == 0"))).when(op == "nonzero", nonzero).when(op == "eq", eq)
     return F.struct(
-        F.concat(F.lit("0x"), F.regexp_replace(mask_text, "^0+(?=.)", "")).alias("mask"),
+        F.concat(F.lit("0x"), mask_text).alias("mask"),
         op.alias("operator"),
         F.when(op == "eq", F.concat(F.lit("0x"), F.lower(F.hex(value)))).alias("value"),
         sub.alias("subfield_constraint"), sub.alias("expression"),

@@ -32,16 +32,21 @@ def in_payload(ranges: DataFrame, length: str) -> DataFrame:
     return ranges.withColumn("inside", ok)
 
 
+# Element kinds of a range: itself, its boundary points, its bytes.
+_EXACT, _POINT, _BYTE = 0, 1, 2
+
+
 def _elements(ranges: DataFrame, keys: Sequence[str], length: str) -> DataFrame:
-    """Everything a range contributes to the scores: itself, its two boundary points, its bytes."""
     row = lambda what, x, y: F.struct(F.lit(what).alias("what"), x.alias("x"), y.alias("y"))
     none = F.lit(-1)
-    own = F.array(row("exact", F.col("a"), F.col("b")), row("point", F.col("a"), none), row("point", F.col("b") + 1, none))
+    own = F.array(row(_EXACT, F.col("a"), F.col("b")), row(_POINT, F.col("a"), none), row(_POINT, F.col("b") + 1, none))
+    return ranges.select(*keys, length, F.inline(own))
+
+
+def _bytes(ranges: DataFrame, keys: Sequence[str], length: str) -> DataFrame:
     first, last = F.greatest(F.col("a"), F.lit(0)), F.least(F.col("b"), F.col(length) - 1)
-    inside = F.when(first <= last, F.transform(F.sequence(first, last), lambda i: row("byte", i, none))).otherwise(
-        F.array().cast("array<struct<what:string,x:int,y:int>>")
-    )
-    return ranges.select(*keys, length, F.inline(F.concat(own, inside)))
+    d = ranges.select(*keys, length, first.alias("_f"), last.alias("_l")).where(F.col("_f") <= F.col("_l"))
+    return d.select(*keys, length, F.lit(_BYTE).alias("what"), F.explode(F.sequence("_f", "_l")).alias("x"), F.lit(-1).alias("y"))
 
 
 def packet_metrics(truth: DataFrame, pred: DataFrame, keys: Sequence[str], length: str = "payload_length") -> DataFrame:
@@ -51,14 +56,15 @@ def packet_metrics(truth: DataFrame, pred: DataFrame, keys: Sequence[str], lengt
     aggregations; duplicates collapse before the shuffle.
     """
     keys = list(keys)
-    d = tagged_sets(_elements(truth, keys, length), _elements(pred, keys, length), [*keys, length, "what", "x", "y"])
+    found = _elements(pred, keys, length).unionByName(_bytes(pred, keys, length))
+    d = tagged_sets(_elements(truth, keys, length), found, [*keys, length, "what", "x", "y"])
     t, p = F.col("in_truth"), F.col("in_pred")
-    exact, point = F.col("what") == "exact", F.col("what") == "point"
+    exact, point = F.col("what") == _EXACT, F.col("what") == _POINT
     inner = point & (F.col("x") != 0) & (F.col("x") != F.col(length))
     g = d.groupBy(*keys, length).agg(
         F.count_if(exact & t).alias("gt_fields"), F.count_if(exact & p).alias("pred_fields"),
         *[F.count_if(w & c).alias(f"{n}_{m}") for n, w in (("exact", exact), ("boundary", point)) for m, c in (("tp", t & p), ("fp", ~t & p), ("fn", t & ~p))],
-        F.count_if((F.col("what") == "byte") & p).alias("coverage_bytes"),
+        F.count_if((F.col("what") == _BYTE) & p).alias("coverage_bytes"),
         F.count_if(inner & p & ~t).alias("over_segmentation"), F.count_if(inner & t & ~p).alias("under_segmentation"),
     )
     return g.select("*", *scores("exact_"), *scores("boundary_"))

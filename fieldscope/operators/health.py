@@ -114,11 +114,17 @@ def column_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str] | None
     Each row yields its fixed set of column pairs, summed up map-side; rows never
     meet each other.
     """
-    a = [(x, y) for i, x in enumerate(left) for y in left[i + 1:]] if right is None else [(x, y) for x in left for y in right]
-    cells = F.array(*[
-        F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), clean(F.col(x)).alias("x"), clean(F.col(y)).alias("y")) for x, y in a
-    ])
-    d = df.select(F.inline(cells)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    entry = lambda names: F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), clean(F.col(c)).alias("v")) for i, c in enumerate(names)])
+    return entry_pairs(df.select(entry(left).alias("l"), entry(right or left).alias("r")), right is None, constant, out)
+
+
+def entry_pairs(df: DataFrame, ordered: bool, constant: float | None = None, out: str = "corr") -> DataFrame:
+    """Pair correlation of two entry lists per row (columns ``l`` and ``r`` of struct<i, c, v>)."""
+    d = df.withColumn("x", F.explode("l")).where(F.col("x.v").isNotNull())
+    d = d.select("x", F.explode("r").alias("y")).where(F.col("y.v").isNotNull())
+    if ordered:
+        d = d.where(F.col("x.i") < F.col("y.i"))
+    d = d.select(F.col("x.c").alias("left"), F.col("y.c").alias("right"), F.col("x.v").alias("x"), F.col("y.v").alias("y"))
     return d.groupBy("left", "right").agg(_safe_corr("x", "y", constant).alias(out))
 
 

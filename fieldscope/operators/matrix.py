@@ -135,13 +135,11 @@ class Projection:
     def reconstruction_error(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Mean squared error per row between the centred row and its image from the axes."""
         v = self.pca.pc.toArray()
+        rows = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in v])
         d = self._scores(df).withColumn("_c", vector_to_array("_s"))
-        error = F.lit(0.0)
-        for i in range(len(self.cols)):
-            back = F.lit(0.0)
-            for j in range(self.axes):
-                back = back + F.col("_z")[j] * float(v[i, j])
-            error = error + (F.col("_c")[i] - back) * (F.col("_c")[i] - back)
+        dot = lambda r: F.aggregate(F.zip_with("_z", r, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+        squares = F.zip_with("_c", rows, lambda c, r: F.pow(c - dot(r), F.lit(2.0)))
+        error = F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)
         return d.select(*keep, (error / F.lit(float(len(self.cols)))).alias("error"))
 
 

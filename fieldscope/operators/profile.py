@@ -10,9 +10,8 @@ from pyspark.sql import types as T
 
 from fieldscope.functions.ordered import top_k
 from fieldscope.functions.ranks import average_rank, value_ranks
-from fieldscope.functions.text import finite
 from fieldscope.operators.features import CONTEXT, GROUPS
-from fieldscope.operators.health import column_pairs
+from fieldscope.operators.health import entry_pairs
 
 # Fixed weights of the confidence words.
 CONFIDENCE = {"high": 1.0, "medium": 0.7, "low": 0.4}
@@ -27,29 +26,25 @@ def probe_group(probe: Column, context: Sequence[str] = CONTEXT) -> Column:
     return c.otherwise("unknown")
 
 
-def _ranked(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Columns replaced by their average ranks; one row keeps its few columns together."""
-    keys = list(keys)
-    long = df.select(*keys, *cols).unpivot(keys, list(cols), "_c", "_v")
-    r = value_ranks(long, ["_c"], "_v")
-    r = r.select("_c", F.col("value").alias("_v"), average_rank(r).alias("_r"))
-    pick = [F.max(F.when(F.col("_c") == c, F.col("_r"))).alias(c) for c in cols]
-    return long.join(r, ["_c", "_v"]).groupBy(*keys).agg(*pick)
-
-
 def axis_probe_corr(emb: DataFrame, matrix: DataFrame, axes: Sequence[str], probes: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Pearson and Spearman of every axis with every probe over the joined rows.
 
-    Rows with a missing value are dropped; constant columns give null.
+    Rows with a missing value are dropped; constant columns give null.  Values and
+    their average ranks travel as one short list per row (one entry per column).
     """
     keys, cols = list(keys), [*axes, *probes]
-    ok = None
-    for c in cols:
-        ok = finite(F.col(c)) if ok is None else ok & finite(F.col(c))
-    d = emb.select(*keys, *axes).join(matrix.select(*keys, *probes), keys).where(ok)
-    p = column_pairs(d, axes, probes, out="pearson")
-    s = column_pairs(_ranked(d, keys, cols), axes, probes, out="spearman")
-    out = p.join(s, ["left", "right"])
+    d = emb.select(*keys, *axes).join(matrix.select(*keys, *probes), keys)
+    long = d.unpivot(keys, cols, "c", "v")
+    r = value_ranks(long, ["c"], "v")
+    r = r.select("c", F.col("value").alias("v"), average_rank(r).alias("rank"))
+    rows = long.join(r, ["c", "v"]).groupBy(*keys).agg(F.collect_list(F.struct(F.lit(0).alias("i"), "c", "v", "rank")).alias("e"))
+    rows = rows.where(F.size("e") == len(cols))
+    pick = lambda names, v: F.transform(
+        F.filter("e", lambda x: x["c"].isin(list(names))), lambda x: F.struct(x["i"].alias("i"), x["c"].alias("c"), x[v].alias("v"))
+    )
+    pearson = entry_pairs(rows.select(pick(axes, "v").alias("l"), pick(probes, "v").alias("r")), False, out="pearson")
+    spearman = entry_pairs(rows.select(pick(axes, "rank").alias("l"), pick(probes, "rank").alias("r")), False, out="spearman")
+    out = pearson.join(spearman, ["left", "right"])
     return out.select(F.col("left").alias("axis"), F.col("right").alias("probe"), probe_group(F.col("right")).alias("feature_group"), "pearson", "spearman")
 
 

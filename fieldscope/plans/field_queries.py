@@ -8,6 +8,7 @@ from fieldscope.operators import bits as B
 from fieldscope.operators import segment as S
 from fieldscope.plans.fixtures import oracle, view
 from fieldscope.plans.trace_queries import events
+from fieldscope.session import cut_lineage
 
 RK = ["protocol", "sample_id"]
 
@@ -142,7 +143,7 @@ def bit_layout(spark, sf):
 
 def bitfield_counts(spark, sf):
     """Counts of the full recovery after gap filling, per field width."""
-    r = B.recover_bitfields(bit_events(spark, sf))
+    r = cut_lineage(B.recover_bitfields(bit_events(spark, sf)))
     filled = I.gap_fill(r.select(*B.KEY, "lo", "hi"), r.select(*B.KEY, "width").distinct(), B.KEY, "lo", "hi", "width")
     top = filled.groupBy(*B.KEY).agg((F.max("hi") + 1).alias("width")).join(filled, B.KEY)
     return B.bitfield_counts(top, ["width"])

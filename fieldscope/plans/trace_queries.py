@@ -1,14 +1,32 @@
 """Registered queries over fx_trace: parsing, selection, compression, health."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldscope.functions import text as X
 from fieldscope.operators import trace as T
 from fieldscope.plans.fixtures import oracle, view
+from fieldscope.session import scratch_path
+
+
+_TABLES: dict[tuple[str, str], tuple[str, StructType]] = {}
 
 
 def events(spark, sf):
-    return T.parse_trace(view(spark, sf, "fx_trace"))
+    """The parsed trace table of a data set.
+
+    Traces are parsed once per application and kept as parquet in the shared
+    scratch folder; every later question prunes columns and pushes its filters
+    into that table.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TABLES:
+        parsed = T.parse_trace(view(spark, sf, "fx_trace"))
+        path = scratch_path(spark, "trace-events")
+        parsed.sortWithinPartitions("run_id", "line_no").write.parquet(path)
+        _TABLES[key] = (path, parsed.schema)
+    path, schema = _TABLES[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def calls(spark, sf):
@@ -23,7 +41,7 @@ def calls(spark, sf):
 
 
 def trace_parse(spark, sf):
-    return events(spark, sf).select(
+    return T.parse_trace(view(spark, sf, "fx_trace")).select(
         "run_id", "line_no", "tid", "kind", "loop", "addr", "disasm", "mnemonic", "idx_raw", "info_raw", "branch"
     )
 
