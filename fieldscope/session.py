@@ -20,6 +20,9 @@ def local_session(cores: int | str = 8, memory: str = "12g", name: str = "fields
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Small local inputs carry much work per byte: keep all cores busy.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.files.openCostInBytes", "65536")
         .getOrCreate()
     )
 
