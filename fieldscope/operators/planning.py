@@ -255,12 +255,17 @@ def mutations(fields: DataFrame, candidates: DataFrame, tried: DataFrame | None
     )
 
 
-def invalid_mutations(m: DataFrame) -> DataFrame:
-    """Mutations whose length changed or that touch bytes outside their field; empty when all is well."""
+def leaves_field() -> Column:
+    """True when a mutation changes the payload length or bytes outside its field."""
     head = lambda c: F.substring(c, F.lit(1), 2 * F.col("a"))
     rest = lambda c: F.substring(c, 2 * F.col("b") + 3, F.length(c))
     old, new = F.col("base_payload_hex"), F.col("payload_hex")
-    return m.where((F.length(old) != F.length(new)) | (head(old) != head(new)) | (rest(old) != rest(new)))
+    return (F.length(old) != F.length(new)) | (head(old) != head(new)) | (rest(old) != rest(new))
+
+
+def invalid_mutations(m: DataFrame) -> DataFrame:
+    """Mutations that leave their field; empty when all is well."""
+    return m.where(leaves_field())
 
 
 def bit_constraint_values(unit_constraints: Column, width: Column) -> Column:

@@ -65,10 +65,8 @@ def mutations(spark, sf):
 def mutation_violations(spark, sf):
     """Number of planned mutations and of those that leave their field (none)."""
     f, _, c = _candidates(spark, sf)
-    m = P.mutations(f, c)
-    bad = P.invalid_mutations(m).select("run_id", "name", "a", "b", F.lit(1).alias("bad"))
-    return m.join(bad, ["run_id", "a", "b", "name"], "left").groupBy("strategy_group").agg(
-        F.count(F.lit(1)).alias("planned"), F.coalesce(F.sum("bad"), F.lit(0)).alias("violations")
+    return P.mutations(f, c).groupBy("strategy_group").agg(
+        F.count(F.lit(1)).alias("planned"), F.count_if(P.leaves_field()).alias("violations")
     )
 
 
@@ -218,6 +216,11 @@ ORACLES = {
         _CAND + "SELECT run_id, a, b, g AS strategy_group, CAST(n - 1 AS INT) AS pos, s AS strategy, vh AS value_hex FROM cnd", *_V
     ),
     "mutations": oracle(_CAND + "SELECT run_id, a, b, name, payload_hex, final_value_hex FROM mut", *_V),
+    "mutation_violations": oracle(
+        """, v AS (SELECT * FROM (VALUES ('neighborhood'), ('boundary'), ('enum'), ('extreme')) x(g)), f AS (SELECT DISTINCT sample_id, a, b FROM fx_payload)
+        SELECT g AS strategy_group, count(*) * 6 AS planned, CAST(0 AS BIGINT) AS violations FROM v, f GROUP BY g""",
+        "fx_payload",
+    ),
     "payload_reuse": oracle(
         """SELECT event_id, min(event_id) OVER w AS executed_as, event_id <> min(event_id) OVER w AS reused FROM fx_payload
         WINDOW w AS (PARTITION BY sample_id, a, b, payload_hex)""",

@@ -500,6 +500,19 @@ ORACLES = {
         SELECT protocol, sample_id, CAST(c AS INT) AS a, CAST(nx - 1 AS INT) AS b FROM n WHERE EXISTS (SELECT 1 FROM r WHERE r.protocol = n.protocol AND r.sample_id = n.sample_id AND r.a <= n.c AND r.b >= n.nx - 1)""",
         "fx_range",
     ),
+    "packet_view": oracle(
+        """, r AS (SELECT DISTINCT protocol, sample_id, start_b AS a, end_b AS b FROM fx_range),
+        o AS (SELECT *, unnest(range(a, b + 1)) AS k FROM r WHERE b - a >= 3),
+        f AS (SELECT o.* FROM o WHERE NOT EXISTS (SELECT 1 FROM r i WHERE i.b - i.a < 3 AND i.protocol = o.protocol AND i.sample_id = o.sample_id AND o.k BETWEEN i.a AND i.b)),
+        s AS (SELECT protocol, sample_id, min(k) AS a, max(k) AS b
+              FROM (SELECT *, k - row_number() OVER (PARTITION BY protocol, sample_id, a, b ORDER BY k) AS g FROM f) q GROUP BY protocol, sample_id, q.a, q.b, g
+              UNION ALL SELECT protocol, sample_id, a, b FROM r WHERE b - a < 3),
+        c AS (SELECT DISTINCT protocol, sample_id, unnest([a, b + 1]) AS c FROM s),
+        n AS (SELECT *, lead(c) OVER (PARTITION BY protocol, sample_id ORDER BY c) AS nx FROM c)
+        SELECT protocol, sample_id, count(*) AS fields, CAST(sum(nx - c) AS BIGINT) AS bytes FROM n
+        WHERE EXISTS (SELECT 1 FROM s WHERE s.protocol = n.protocol AND s.sample_id = n.sample_id AND s.a <= n.c AND s.b >= n.nx - 1) GROUP BY ALL""",
+        "fx_range",
+    ),
     "align_samples": oracle(
         """SELECT DISTINCT protocol AS protocol_name, printf('sample_%03d', sample_id % 997) AS replay_sample_id,
           printf('sample_%03d', sample_id % 997 + CASE WHEN protocol = 'A' THEN 1 ELSE 0 END) AS packet_sample_id FROM fx_range""",
