@@ -148,7 +148,7 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str, held: Column, chunk
 
         yield from batches(packed(), schema, 1)
 
-    table, n = f"katz_{uuid.uuid4().hex}", 2 * docs.rdd.getNumPartitions()
+    table, n = f"katz_{uuid.uuid4().hex}", min(100_000, max(1, 2 * docs.rdd.getNumPartitions()))  # Spark's own limit
     rows = docs.select(F.col(id_col).cast(kind), as_bytes(F.col(text_col)), held).mapInArrow(run, ddl)
     rows.write.option("path", scratch_path(spark, "chunks")).option("compression", "none").bucketBy(n, "chunk").saveAsTable(table)
     return spark.table(table), table

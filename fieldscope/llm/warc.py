@@ -164,9 +164,12 @@ class _Reader:
             self.record = None
 
     def _block(self, piece: bytes):
-        for start in range(0, len(piece), self.size):
-            self.buffer += piece[start : start + self.size]
-            if len(self.buffer) >= self.size:
+        at = 0
+        while at < len(piece):
+            taken = piece[at : at + self.size - len(self.buffer)]
+            self.buffer += taken
+            at += len(taken)
+            if len(self.buffer) == self.size:
                 yield from self._flush(False)
 
     def line(self, line: bytes):
