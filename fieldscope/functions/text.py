@@ -132,19 +132,21 @@ def untainted_values(info: Column) -> Column:
 
 
 def operand_pairs(info: Column) -> Column:
-    """array<struct<side, tainted, value>> of an operand-value text."""
+    """array<struct<side, tainted, value>> of an operand-value text: ``SIDE = value`` parts, signed hex or decimal.
+
+    A part whose value is no number is left out.
+    """
     text = F.coalesce(info, F.lit(""))
-    pattern = r"([A-Za-z0-9_]+)(\*?)=(0x[0-9a-fA-F]+|\d+)"
-    zipped = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), 1).alias("side"),
-        F.regexp_extract_all(text, F.lit(pattern), 2).alias("mark"),
-        F.regexp_extract_all(text, F.lit(pattern), 3).alias("value"),
-    )
-    return F.transform(
+    # Fixed format of a part: a name that may hold the mark, and all up to the next ; or tab.
+    pattern = r"([A-Za-z0-9_*]+)\s*=\s*([^;\t]+)"
+    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("side"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("value"))
+
+    def number(raw):
+        t = F.lower(F.trim(raw))
+        return F.when(t.rlike("^-?0x[0-9a-f]+$"), _signed_hex(t)).when(t.rlike(r"^[+-]?\d+$"), t.try_cast(WIDE))
+
+    parts = F.transform(
         zipped,
-        lambda p: F.struct(
-            p["side"].alias("side"),
-            (p["mark"] == "*").alias("tainted"),
-            F.when(p["value"].startswith("0x"), hex_value(p["value"])).otherwise(p["value"].try_cast(WIDE)).alias("value"),
-        ),
+        lambda p: F.struct(F.replace(p["side"], F.lit("*"), F.lit("")).alias("side"), p["side"].contains("*").alias("tainted"), number(p["value"]).alias("value")),
     )
+    return F.filter(parts, lambda p: p["value"].isNotNull())

@@ -9,6 +9,7 @@ set of a field, and after ``split_runs`` at most width*(width+1)/2 rows per fiel
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,7 +59,13 @@ def _immediate(op: Column) -> Column:
     value = F.when(t.rlike("^-?0x[0-9a-fA-F]+$"), hex_value(F.regexp_replace(t, "^-", ""))).when(
         t.rlike(r"^-?\d+$"), F.regexp_replace(t, "^-", "").try_cast("decimal(20,0)")
     )
-    return F.when(t.startswith("-"), -value).otherwise(value).try_cast("long")
+    return _as_bits(F.when(t.startswith("-"), -value).otherwise(value))
+
+
+def _as_bits(value: Column) -> Column:
+    """The 64 bits of a value in -2^63 .. 2^64 - 1 as a long."""
+    wide = value.cast("decimal(22,0)")
+    return F.when(wide >= F.lit(Decimal(2**63)), wide - F.lit(Decimal(2**64))).otherwise(wide).try_cast("long")
 
 
 def mask_bits(mask: Column, width: Column) -> Column:
@@ -83,7 +90,8 @@ def bit_use_events(events: DataFrame, fields: DataFrame, compat_branch: bool = F
     ops = F.transform(F.split(F.regexp_replace("disasm", r"^\S+\s*", ""), ","), lambda x: F.trim(x))
     d = d.withColumn("ops", ops).where(F.size("ops") == 2)
     left, right = F.get("ops", F.lit(0)), F.get("ops", F.lit(1))
-    runtime = F.get(F.filter(operand_pairs(F.col("info_raw")), lambda p: ~p["tainted"]), F.lit(0))["value"].try_cast("long")
+    runtime = F.get(F.filter(operand_pairs(F.col("info_raw")), lambda p: ~p["tainted"]), F.lit(0))["value"]
+    runtime = _as_bits(runtime)
     d = d.withColumn("imm", _immediate(right)).withColumn("known", F.coalesce("imm", runtime))
     m = F.col("mnemonic")
     logic, shift = m.isin("and", "or", "xor"), m.isin(SHIFTS)

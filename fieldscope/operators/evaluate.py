@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldscope.functions.intervals import counts_of, scores, tagged_sets
 from fieldscope.functions.ordered import top_k
 from fieldscope.functions.text import ratio
 from fieldscope.operators.matrix import hash_order
+from fieldscope.operators.profile import TAGS
 
 VERDICTS = ["same_behavior", "mostly_same_behavior", "weakly_same_behavior", "different_behavior", "insufficient_information"]
 PARTS = ["tp", "fp", "fn"]
@@ -157,9 +158,9 @@ def compare_packets(truth: DataFrame, pred: DataFrame, packets: DataFrame, keys:
 # --- labels --------------------------------------------------------------------
 
 
-def truth_labels(rows: DataFrame, keys: Sequence[str], exclude_other: bool = False, exclude_review: bool = False) -> DataFrame:
-    """Label set per key (few fixed labels), filtered by review flag and unknown label."""
-    d = rows
+def truth_labels(rows: DataFrame, keys: Sequence[str], exclude_other: bool = False, exclude_review: bool = False, tags: Sequence[str] = TAGS) -> DataFrame:
+    """Label set per key (few fixed labels), filtered by tag list, review flag and unknown label."""
+    d = rows.withColumn("label", F.trim("label")).where(F.col("label").isin(list(tags)))
     if exclude_other:
         d = d.where(F.col("label") != "other_or_unknown")
     if exclude_review:
@@ -283,42 +284,55 @@ def cluster_eval(pred: DataFrame, descriptions: DataFrame, labels: DataFrame) ->
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    x, y = np.stack(a.to_numpy()).astype("float64"), np.stack(b.to_numpy()).astype("float64")
-    return pd.Series((x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))))
+_BLOCK = "block long, ids binary, data binary, n int"
 
 
-def nearest_label(unknown: DataFrame, known: DataFrame, pivots: int = 32, slices: int = 16) -> DataFrame:
+def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
+    """(id, vec) rows of a task packed into blocks of unit vectors; nothing is shuffled."""
+
+    def run(parts):
+        number = TaskContext.get().partitionId() << 32
+        for part in parts:
+            for at in range(0, part.num_rows, rows):
+                piece = part.slice(at, rows)
+                x = np.array(piece.column(1).to_pylist(), np.float64)
+                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+                ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                number += 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([len(ids)], pa.int32())],
+                    ["block", "ids", "data", "n"],
+                )
+
+    return vectors.select(F.col("id").cast("long"), "vec").mapInArrow(run, _BLOCK)
+
+
+def _best_of_blocks(parts):
+    """One row per vector and block pair: the most similar labelled vector, smallest id on ties."""
+    for part in parts:
+        for r in part.to_pylist():
+            x, y = (np.frombuffer(r[c], np.float64).reshape(r[m], -1) for c, m in (("data", "n"), ("k_data", "k_n")))
+            known = np.frombuffer(r["k_ids"], np.int64)
+            order = np.argsort(known, kind="stable")
+            cosine = x @ y[order].T
+            at = cosine.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(r["ids"], np.int64)), pa.array(known[order][at]), pa.array(cosine[np.arange(len(x)), at])], ["id", "known_id", "_cos"]
+            )
+
+
+def nearest_label(unknown: DataFrame, known: DataFrame, rows: int = 2048) -> DataFrame:
     """Most similar labelled vector (cosine, lowest id on ties) of every unlabelled one; exact.
 
-    Labelled vectors belong to the nearest of a fixed number of pivots.  An
-    unlabelled vector first looks into its own pivot's cell, which bounds its
-    best angle; by the triangle inequality only cells whose angle to the vector,
-    less the cell's radius, stays within that bound can hold a better one.  Cells
-    are cut into hash slices, so a large cell spreads over tasks.
+    Vectors are packed into blocks; each pair of blocks is one row and one matrix product, of
+    which only the best of each unlabelled vector goes on.  So rows between stages number
+    vectors times labelled blocks, never vectors times vectors.
     """
-    # The pivots are the only broadcast side: at most ``pivots`` vectors.
-    picked = known.select(F.col("id").alias("pivot"), F.col("vec").alias("pvec")).orderBy(F.xxhash64("pivot"), "pivot").limit(pivots)
-    angle = lambda c: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c)))
-
-    def to_pivots(d):
-        return d.join(F.broadcast(picked), how="cross").withColumn("_t", angle(_cosine("vec", "pvec"))).drop("pvec")
-
-    cell = to_pivots(known).groupBy("id").agg(F.min_by(F.struct("pivot", "_t"), F.struct("_t", "pivot")).alias("_c"), F.first("vec").alias("vec"))
-    cell = cell.select("id", "vec", F.col("_c.pivot").alias("pivot"), F.col("_c._t").alias("_r"))
-    reach = cell.groupBy("pivot").agg(F.max("_r").alias("_radius"))
-    near = to_pivots(unknown).join(reach, "pivot").select("id", "vec", "pivot", (F.col("_t") - F.col("_radius")).alias("_low"), "_t")
-    members = cell.select(F.col("id").alias("known_id"), F.col("vec").alias("kvec"), "pivot", F.pmod(F.xxhash64("id"), F.lit(slices)).alias("_s"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_s")
-    best = lambda d: d.withColumn("_cos", _cosine("vec", "kvec")).groupBy("id").agg(
-        F.max_by(F.struct("known_id", "_cos"), F.struct("_cos", -F.col("known_id"))).alias("_b")
-    )
-    home = near.groupBy("id").agg(F.min_by(F.struct("pivot", "vec"), F.struct("_t", "pivot")).alias("_h")).select("id", "_h.pivot", "_h.vec", every)
-    first = best(home.join(members, ["pivot", "_s"])).select("id", angle(F.col("_b._cos")).alias("_bound"))
-    # A small margin keeps rounding in the angles from hiding the true neighbour.
-    rest = near.join(first, "id").where(F.col("_low") <= F.col("_bound") + 1e-6).select("id", "vec", "pivot", every)
-    return best(rest.join(members, ["pivot", "_s"])).select("id", F.col("_b.known_id").alias("nearest_id"), F.col("_b._cos").alias("cosine"))
+    labelled = _blocks(known, rows).select(F.col("ids").alias("k_ids"), F.col("data").alias("k_data"), F.col("n").alias("k_n"))
+    pairs = _blocks(unknown, rows).join(labelled, how="cross")
+    best = pairs.select("ids", "data", "n", "k_ids", "k_data", "k_n").mapInArrow(_best_of_blocks, "id long, known_id long, _cos double")
+    top = best.groupBy("id").agg(F.max_by(F.struct("known_id", "_cos"), F.struct("_cos", -F.col("known_id"))).alias("_b"))
+    return top.select("id", F.col("_b.known_id").alias("nearest_id"), F.col("_b._cos").alias("cosine"))
 
 
 def coverage_by_protocol(a: DataFrame, b: DataFrame, keys: Sequence[str], protocol: str = "protocol_name") -> DataFrame:
@@ -330,14 +344,17 @@ def coverage_by_protocol(a: DataFrame, b: DataFrame, keys: Sequence[str], protoc
     )
 
 
-def normalize_sample_id(df: DataFrame, mapping: DataFrame | None = None, col: str = "sample_id") -> DataFrame:
-    """Packet id of a sample: from the mapping, else ``sample_007`` gives ``pkt_0006``, else unchanged."""
+def normalize_sample_id(df: DataFrame, mapping: DataFrame | None = None, col: str = "sample_id", protocol: str = "protocol_name") -> DataFrame:
+    """Packet id of a sample: from the mapping by protocol and sample, else ``sample_007`` gives ``pkt_0006``, else unchanged.
+
+    A pair that the mapping lists more than once takes its largest packet id; no row is multiplied.
+    """
     n = F.regexp_extract(col, r"^sample_(\d+)$", 1).try_cast("int")
     counted = F.when(n.isNotNull(), F.format_string("pkt_%04d", F.greatest(n - 1, F.lit(0))))
     if mapping is None:
         return df.withColumn("packet_id", F.coalesce(counted, F.col(col)))
-    m = mapping.select(F.col(col), F.col("packet_id").alias("_m"))
-    return df.join(m, col, "left").withColumn("packet_id", F.coalesce("_m", counted, F.col(col))).drop("_m")
+    m = mapping.where(F.col("packet_id") != "").groupBy(protocol, col).agg(F.max("packet_id").alias("_m"))
+    return df.join(m, [protocol, col], "left").withColumn("packet_id", F.coalesce("_m", counted, F.col(col))).drop("_m")
 
 
 def _rates(total: Column, prefix: str = "") -> list[Column]:

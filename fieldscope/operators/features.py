@@ -21,7 +21,7 @@ FEATURES = CONTEXT + [f"{g}_{s}" for g in GROUPS for s in SUMMARY]
 KEYS = ["protocol_name", "sample_id", "field_id"]
 AUX = ["mutation_count", "valid_mutations", "unique_metric_vectors", "deltaf_dispersion", "constraint_count", "field_kind"]
 # Fixed mnemonics that count as useful field operations.
-USEFUL = "cmp test add sub imul mul idiv div and or xor shl shr sar sal rol ror".split()
+USEFUL = ["cmp", "test", "add", "sub", "imul", "mul", "idiv", "div", "and", "or", "xor", "shl", "shr", "sar", "sal", "rol", "ror"]
 DIRECTION = {
     "branch_sites_jaccard": True, "bb_set_jaccard": True, "cmp_site_set_jaccard": True, "lcp_ratio": True,
     "instr_delta_ratio": False, "bb_multiset_l1_ratio": False, "cmp_delta_ratio": False, "branch_flip_ratio": False,

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldscope.functions.ranks import quantiles
@@ -111,11 +113,58 @@ def _safe_corr(x: str, y: str, constant: float | None) -> Column:
 def column_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str] | None = None, constant: float | None = None, out: str = "corr") -> DataFrame:
     """Pearson correlation of column pairs (all i < j of ``left``, or left x right), pairwise complete.
 
-    Each row yields its fixed set of column pairs, summed up map-side; rows never
-    meet each other.
+    A task keeps one matrix of co-moments over its rows, a product per batch; rows never
+    multiply.  Moments of tasks are joined around the common means, so large offsets do not cancel.
     """
-    entry = lambda names: F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), clean(F.col(c)).alias("v")) for i, c in enumerate(names)])
-    return entry_pairs(df.select(entry(left).alias("l"), entry(right or left).alias("r")), right is None, constant, out)
+    names = [(x, y) for i, x in enumerate(left) for y in (left[i + 1 :] if right is None else right)]
+    columns = list(dict.fromkeys([*left, *(right or left)]))
+    moments = df.select(*[clean(F.col(c)).cast("double").alias(c) for c in columns]).mapInArrow(
+        lambda parts: _co_moments(parts, names, columns), "left string, right string, n double, mx double, my double, xx double, yy double, xy double, lx double, hx double, ly double, hy double"
+    )
+    one = Window.partitionBy("left", "right")
+    total = F.sum("n").over(one)
+    d = moments.withColumn("_x", F.col("mx") - F.sum(F.col("n") * F.col("mx")).over(one) / total)
+    d = d.withColumn("_y", F.col("my") - F.sum(F.col("n") * F.col("my")).over(one) / total)
+    about = lambda s, a, b: F.sum(F.col(s) + F.col("n") * F.col(a) * F.col(b)).alias(s)
+    g = d.groupBy("left", "right").agg(
+        F.sum("n").alias("n"), about("xx", "_x", "_x"), about("yy", "_y", "_y"), about("xy", "_x", "_y"),
+        ((F.min("lx") == F.max("hx")) | (F.min("ly") == F.max("hy"))).alias("flat"),
+    )
+    value = F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))
+    return g.select("left", "right", F.when(F.col("flat") | (F.col("n") < 2), F.lit(constant).cast("double")).otherwise(value).alias(out))
+
+
+def _co_moments(parts, names: list[tuple[str, str]], columns: list[str]):
+    """One row per column pair of a task: size, means, co-moments and extremes of the rows that have both."""
+    at = {c: i for i, c in enumerate(columns)}
+    ix, iy = np.array([at[x] for x, _ in names]), np.array([at[y] for _, y in names])
+    n = np.zeros(len(names))
+    mx, my, xx, yy, xy = (np.zeros(len(names)) for _ in range(5))
+    lx, hx, ly, hy = (np.full(len(names), s * np.inf) for s in (1, -1, 1, -1))
+    for part in parts:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in part.columns])
+        there = ~np.isnan(x)
+        if not there.any():
+            continue
+        shift = np.array([c[t].mean() if t.any() else 0.0 for c, t in zip(x.T, there.T)])
+        v, m = np.where(there, x - shift, 0.0), there.astype(np.float64)
+        size, sums, squares, products = m.T @ m, v.T @ m, (v * v).T @ m, v.T @ v
+        low = np.stack([np.where(there & there[:, [j]], x, np.inf).min(axis=0) for j in range(x.shape[1])], axis=1)
+        high = np.stack([np.where(there & there[:, [j]], x, -np.inf).max(axis=0) for j in range(x.shape[1])], axis=1)
+        k = size[ix, iy]
+        safe = np.maximum(k, 1)
+        sx, sy = sums[ix, iy] / safe, sums[iy, ix] / safe
+        px, py = sx + shift[ix], sy + shift[iy]
+        dx, dy, whole = px - mx, py - my, np.maximum(n + k, 1)
+        xx += squares[ix, iy] - k * sx * sx + dx * dx * n * k / whole
+        yy += squares[iy, ix] - k * sy * sy + dy * dy * n * k / whole
+        xy += products[ix, iy] - k * sx * sy + dx * dy * n * k / whole
+        mx, my, n = mx + dx * k / whole, my + dy * k / whole, n + k
+        lx, hx = np.minimum(lx, low[ix, iy]), np.maximum(hx, high[ix, iy])
+        ly, hy = np.minimum(ly, low[iy, ix]), np.maximum(hy, high[iy, ix])
+    keep = n > 0
+    cols = [[p[0] for p, z in zip(names, keep) if z], [p[1] for p, z in zip(names, keep) if z], *[a[keep] for a in (n, mx, my, xx, yy, xy, lx, hx, ly, hy)]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) if i > 1 else pa.array(c, pa.string()) for i, c in enumerate(cols)], ["left", "right", "n", "mx", "my", "xx", "yy", "xy", "lx", "hx", "ly", "hy"])
 
 
 def entry_pairs(df: DataFrame, ordered: bool, constant: float | None = None, out: str = "corr") -> DataFrame:

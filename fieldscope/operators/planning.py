@@ -15,8 +15,8 @@ from fieldscope.operators.trace import after_first_taint
 GROUPS = ["neighborhood", "boundary", "enum", "extreme"]
 # Fixed mnemonic classes of the instruction mix.
 COMPARE = ["cmp", "test"]
-COMPUTE = "add sub adc sbb and or xor shl shr sar sal mul imul div idiv inc dec neg not lea rol ror rcl rcr".split()
-MOVE = "mov movzx movsx movsxd cmovz cmovnz cmove cmovne xchg".split()
+COMPUTE = ["add", "sub", "adc", "sbb", "and", "or", "xor", "shl", "shr", "sar", "sal", "mul", "imul", "div", "idiv", "inc", "dec", "neg", "not", "lea", "rol", "ror", "rcl", "rcr"]
+MOVE = ["mov", "movzx", "movsx", "movsxd", "cmovz", "cmovnz", "cmove", "cmovne", "xchg"]
 
 FIELD = ["run_id", "a", "b"]
 
@@ -183,7 +183,7 @@ def first_evidence(evidence: DataFrame, k: int, keys: Sequence[str] = FIELD) ->
     )
 
 
-def grouped_candidates(fields: DataFrame, profile: DataFrame, evidence: DataFrame, k: int | str = 6, max_k: int = 6, keys: Sequence[str] = FIELD) -> DataFrame:
+def grouped_candidates(fields: DataFrame, profile: DataFrame, evidence: DataFrame, k: int | str = 6, keys: Sequence[str] = FIELD) -> DataFrame:
     """Candidate values per strategy group.
 
     ``fields``: keys, width_bits, base_hex (current value, fixed-width hex), and a
@@ -192,7 +192,8 @@ def grouped_candidates(fields: DataFrame, profile: DataFrame, evidence: DataFram
     """
     keys = list(keys)
     limit = F.col(k) if isinstance(k, str) else F.lit(int(k))
-    steps = max_k if isinstance(k, str) else int(k)
+    # With a limit per field, the largest one decides how many steps there are.
+    steps = int(fields.agg(F.max(k)).first()[0] or 1) if isinstance(k, str) else int(k)
     d = (
         fields.join(first_evidence(evidence, steps, keys), keys, "left")
         .join(profile.select(*keys, "range_lo", "range_hi"), keys, "left")

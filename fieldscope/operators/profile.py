@@ -193,8 +193,8 @@ def extract_json(df: DataFrame, text: str, schema: T.StructType, required: Seque
 
 
 def normalize_tags(c: Column, n: int = 3, tags: Sequence[str] = TAGS, default: str = "other_or_unknown") -> Column:
-    """Known tags of a ``;`` or ``,`` list, distinct in order, first n; the default when none is left."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[;,]"), lambda x: F.lower(F.trim(x)))
+    """Known tags (case counts) of a ``;`` or ``,`` list, distinct in order, first n; the default when none is left."""
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[;,]"), lambda x: F.trim(x))
     known = F.slice(F.array_distinct(F.filter(parts, lambda x: x.isin(list(tags)))), 1, n)
     return F.when(F.size(known) > 0, known).otherwise(F.array(F.lit(default)))
 

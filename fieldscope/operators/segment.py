@@ -16,8 +16,8 @@ from fieldscope.functions.units import bit_repr, byte_repr, label_bounds, span_l
 from fieldscope.operators.trace import after_first_taint
 
 # Fixed mnemonic classes of byte evidence.
-COMPUTE = "add adc sub sbb imul mul idiv div and or xor shl shr sar sal rol ror rcl rcr inc dec neg not lea".split()
-MOVE = "mov movzx movsx movsxd movss movsd".split()
+COMPUTE = ["add", "adc", "sub", "sbb", "imul", "mul", "idiv", "div", "and", "or", "xor", "shl", "shr", "sar", "sal", "rol", "ror", "rcl", "rcr", "inc", "dec", "neg", "not", "lea"]
+MOVE = ["mov", "movzx", "movsx", "movsxd", "movss", "movsd"]
 FLOAT_WIDTH = {"movss": 4, "movsd": 8}
 
 

@@ -306,7 +306,7 @@ def event_key(function: Column | None = None) -> Column:
 def event_values() -> Column:
     """Value text of an instruction: everything behind the index column except loop marks."""
     cols = F.split("payload", "\t")
-    rest = F.filter(F.slice(cols, 4, 1 << 20), lambda c: c != "LOOP")
+    rest = F.filter(F.slice(cols, F.lit(4), F.size(cols)), lambda c: c != "LOOP")
     return F.when(F.col("kind") == "Instruction", F.concat_ws("; ", rest)).otherwise(F.lit(""))
 
 

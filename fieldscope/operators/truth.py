@@ -12,6 +12,7 @@ from fieldscope.functions.intervals import atomize, islands, subtract
 from fieldscope.functions.ordered import top_k
 from fieldscope.functions.text import runs_of
 from fieldscope.functions.units import field_key, span_label
+from fieldscope.operators.bits import bits_mask_hex
 from fieldscope.operators.profile import extract_json
 
 PACKET = ["protocol", "sample_id"]
@@ -28,11 +29,9 @@ def bit_pattern(showname: Column, size: Column) -> Column:
 
 
 def bits_mask_text(bits: Column) -> Column:
-    """Mask text padded to whole bytes of the highest bit (up to 63 bits)."""
-    one = F.lit(1).cast("long")
-    value = F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc + F.call_function("shiftleft", one, b))
+    """Mask text padded to whole bytes of the highest bit, any width."""
     digits = (2 * (F.floor(F.array_max(bits) / 8) + 1)).cast("int")
-    return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(value)), digits, "0"))
+    return F.concat(F.lit("0x"), F.lpad(bits_mask_hex(bits), digits, "0"))
 
 
 def bits_ranges_text(bits: Column) -> Column:
@@ -116,41 +115,41 @@ def export_truth(ranges: DataFrame, alignment: DataFrame) -> DataFrame:
 # Fixed label rules, first match wins: (label, coarse tag, part of the field, words).
 # Parts: name = field name, text = all texts, token = whole token of the name.
 RULES = [
-    ("reserved", "other_or_unknown", [("text", "reserved padding")]),
-    ("transaction_id", "identifier", [("name", "trans_id transaction")]),
-    ("protocol_id", "identifier", [("name", "prot_id protocol_id"), ("text", ["protocol identifier"])]),
-    ("protocol_id", "identifier", [("name", "version")]),
-    ("session_id", "identifier", [("name", "session")]),
-    ("session_id", "identifier", [("name", "context")]),
-    ("invoke_id", "identifier", [("name", "invoke")]),
-    ("pdu_reference", "identifier", [("name", "pduref pdu_ref pdu-reference pdu.reference")]),
-    ("pdu_reference", "identifier", [("token", "rx tx")]),
-    ("protocol_id", "identifier", [("name", "protid")]),
-    ("unit_id", "identifier", [("name", "unit_id unitid")]),
-    ("domain_id", "identifier", [("name", "domainid domain_id")]),
-    ("item_id", "identifier", [("name", "itemid item_id")]),
-    ("session_id", "identifier", [("name", "iface serial_num vendor")]),
-    ("length", "length_or_count", [("name", "length .len _len apdulen byte_cnt byte_count size"), ("token", "li"), ("text", ["length:", "byte count"])]),
-    ("quantity", "length_or_count", [("name", "quantity qty")]),
-    ("count", "length_or_count", [("name", "count _cnt .cnt numix"), ("text", [" count:", "quantity"])]),
-    ("function_code", "control_or_flags", [("name", "func_code function command"), ("token", "func")]),
-    ("service_code", "control_or_flags", [("name", "service")]),
-    ("cause_of_transmission", "control_or_flags", [("name", "cause")]),
-    ("status", "control_or_flags", [("name", "status error")]),
-    ("type_id", "control_or_flags", [("name", "rosctr typeid type_id"), ("token", "type")]),
-    ("flag", "control_or_flags", [("name", "start qos timeout control option priority pduflags flags"), ("mask", "")]),
-    ("common_address", "addressing", [("name", "common_address causetx_originator originator")]),
-    ("common_address", "addressing", [("token", "oa")]),
-    ("object_address", "addressing", [("name", "object_address ioa")]),
-    ("address", "addressing", [("name", "reference_num regnum reference addr address destref srcref")]),
-    ("class_id", "addressing", [("name", "class_id .class _class")]),
-    ("instance_id", "addressing", [("name", "instance")]),
-    ("attribute_id", "addressing", [("name", "attribute")]),
+    ("reserved", "other_or_unknown", [("text", ["reserved", "padding"])]),
+    ("transaction_id", "identifier", [("name", ["trans_id", "transaction"])]),
+    ("protocol_id", "identifier", [("name", ["prot_id", "protocol_id"]), ("text", ["protocol identifier"])]),
+    ("protocol_id", "identifier", [("name", ["version"])]),
+    ("session_id", "identifier", [("name", ["session"])]),
+    ("session_id", "identifier", [("name", ["context"])]),
+    ("invoke_id", "identifier", [("name", ["invoke"])]),
+    ("pdu_reference", "identifier", [("name", ["pduref", "pdu_ref", "pdu-reference", "pdu.reference"])]),
+    ("pdu_reference", "identifier", [("token", ["rx", "tx"])]),
+    ("protocol_id", "identifier", [("name", ["protid"])]),
+    ("unit_id", "identifier", [("name", ["unit_id", "unitid"])]),
+    ("domain_id", "identifier", [("name", ["domainid", "domain_id"])]),
+    ("item_id", "identifier", [("name", ["itemid", "item_id"])]),
+    ("session_id", "identifier", [("name", ["iface", "serial_num", "vendor"])]),
+    ("length", "length_or_count", [("name", ["length", ".len", "_len", "apdulen", "byte_cnt", "byte_count", "size"]), ("token", ["li"]), ("text", ["length:", "byte count"])]),
+    ("quantity", "length_or_count", [("name", ["quantity", "qty"])]),
+    ("count", "length_or_count", [("name", ["count", "_cnt", ".cnt", "numix"]), ("text", [" count:", "quantity"])]),
+    ("function_code", "control_or_flags", [("name", ["func_code", "function", "command"]), ("token", ["func"])]),
+    ("service_code", "control_or_flags", [("name", ["service"])]),
+    ("cause_of_transmission", "control_or_flags", [("name", ["cause"])]),
+    ("status", "control_or_flags", [("name", ["status", "error"])]),
+    ("type_id", "control_or_flags", [("name", ["rosctr", "typeid", "type_id"]), ("token", ["type"])]),
+    ("flag", "control_or_flags", [("name", ["start", "qos", "timeout", "control", "option", "priority", "pduflags", "flags"]), ("mask", [])]),
+    ("common_address", "addressing", [("name", ["common_address", "causetx_originator", "originator"])]),
+    ("common_address", "addressing", [("token", ["oa"])]),
+    ("object_address", "addressing", [("name", ["object_address", "ioa"])]),
+    ("address", "addressing", [("name", ["reference_num", "regnum", "reference", "addr", "address", "destref", "srcref"])]),
+    ("class_id", "addressing", [("name", ["class_id", ".class", "_class"])]),
+    ("instance_id", "addressing", [("name", ["instance"])]),
+    ("attribute_id", "addressing", [("name", ["attribute"])]),
     ("instance_id", "addressing", [("text", ["device instance range", "property identifier"])]),
     ("timestamp", "data_value", [("text", ["cp56time", "timestamp", "utc_time", "time of day", "milliseconds"])]),
-    ("mask", "data_value", [("name", "mask")]),
-    ("payload_data", "data_value", [("name", "payload data")]),
-    ("value", "data_value", [("name", "regval value boolean integer float")]),
+    ("mask", "data_value", [("name", ["mask"])]),
+    ("payload_data", "data_value", [("name", ["payload", "data"])]),
+    ("value", "data_value", [("name", ["regval", "value", "boolean", "integer", "float"])]),
 ]
 # Fixed finer names of time labels, first match wins; no match means "value".
 TIME_RULES = [
@@ -163,14 +162,13 @@ CONSTANT_TEXT = ["reserved", "padding", "shall be zero", "must be zero"]
 STRUCTURE = ["lvt", "tag", "segment", "ber.", "wrapper", "variablespecification"]
 
 
-def _any(text: Column, words) -> Column:
-    words = words.split(" ") if isinstance(words, str) else words
+def _any(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join("".join(f"\\{ch}" if not ch.isalnum() and ch not in " _" else ch for ch in w) for w in words))
 
 
-def _token(text: Column, words: str) -> Column:
+def _token(text: Column, words: list[str]) -> Column:
     # Fixed token borders: dot, underscore, backslash and the letter s.
-    return text.rlike(r"(^|[._s\\])(" + "|".join(words.split(" ")) + r")($|[._s\\])")
+    return text.rlike(r"(^|[._s\\])(" + "|".join(words) + r")($|[._s\\])")
 
 
 def label_fields(df: DataFrame, bitmask: str | None = None) -> DataFrame:
@@ -237,6 +235,8 @@ def label_summary(labels: DataFrame, k: int = 30) -> DataFrame:
 # --- response documents -----------------------------------------------------------
 
 DOC_FIELD = T.StructType([T.StructField("field_id", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("summary", T.StringType())])
+# A document is one field or holds a list of them.
+DOC = T.StructType([*DOC_FIELD.fields, T.StructField("fields", T.ArrayType(DOC_FIELD))])
 
 
 def normal_field_id(c: Column) -> Column:
@@ -247,28 +247,44 @@ def normal_field_id(c: Column) -> Column:
 def collect_fields(docs: DataFrame, text: str, name: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(field rows, parse errors) of response texts; ``name`` is an optional file name whose
     ``<seq>_<protocol>_<packet>`` form gives the keys."""
-    d = extract_json(docs, text, DOC_FIELD, ["field_id"])
+    d = extract_json(docs, text, DOC)
+    single = F.struct("doc.field_id", "doc.tags", "doc.summary")
+    listed = F.filter(F.coalesce("doc.fields", F.array(single)), lambda f: f["field_id"].isNotNull())
+    d = d.withColumn("_fields", listed).withColumn("error", F.when(F.col("error").isNull() & (F.size("_fields") == 0), "missing key").otherwise(F.col("error")))
     if name:
         part = lambda i: F.regexp_extract(F.col(name), r"(\d+)_([^_]+)_(pkt_\d+)", i)
         d = d.withColumn("seq", part(1).try_cast("int")).withColumn("protocol_name", part(2)).withColumn("sample_id", part(3))
-    good = d.where(F.col("error").isNull()).withColumn("field_id", normal_field_id(F.col("doc.field_id"))).withColumn("tags", F.col("doc.tags"))
-    return good.drop("doc", "error", text), d.where(F.col("error").isNotNull()).drop("doc")
+    good = d.where(F.col("error").isNull()).withColumn("_f", F.explode("_fields"))
+    good = good.withColumn("field_id", normal_field_id(F.col("_f.field_id"))).withColumn("tags", F.col("_f.tags"))
+    return good.drop("doc", "error", "_fields", "_f", text), d.where(F.col("error").isNotNull()).drop("doc", "_fields")
 
 
 def gap_rows(ranges: DataFrame, lengths: DataFrame, keys: Sequence[str], length: str = "length") -> DataFrame:
-    """Uncovered byte runs of each payload as rows flagged for review."""
+    """Uncovered byte runs of each payload as rows flagged for review.
+
+    A range that leaves its payload is ignored as a whole.
+    """
     keys = list(keys)
     whole = lengths.where(F.col(length) > 0).select(*keys, F.explode(F.sequence(F.lit(0), F.col(length) - 1)).alias("_p"))
-    # byte offsets outside the payload simply find no partner
-    used = ranges.where(F.col("a") <= F.col("b")).select(*keys, F.explode(F.sequence("a", "b")).alias("_p")).distinct()
+    limit = lengths.select(*keys, F.col(length).alias("_n")).distinct()
+    inside = ranges.select(*keys, "a", "b").join(limit, keys).where((F.col("a") >= 0) & (F.col("b") < F.col("_n")))
+    used = inside.where(F.col("a") <= F.col("b")).select(*keys, F.explode(F.sequence("a", "b")).alias("_p")).distinct()
     gaps = islands(whole.join(used, [*keys, "_p"], "left_anti"), keys, "_p")
     return gaps.withColumn("field_id", field_key(F.col("a"), F.col("b"))).withColumn("needs_review", F.lit(True))
 
 
-def placeholders(df: DataFrame, cols: Sequence[str], words: Sequence[str] = ("todo", "tbd", "placeholder", "unknown")) -> DataFrame:
-    """Rows whose texts are empty or hold a placeholder word."""
-    text = F.lower(F.concat_ws(" ", *cols))
-    return df.where((F.trim(text) == "") | text.rlike(r"\b(" + "|".join(words) + r")\b"))
+# Fixed marks of texts that wait for a person, and the review reason that says so by itself.
+MARKERS = ["人工校验补齐", "人工校验修正", "人工校验保留", "manual boundary correction"]
+PLACEHOLDER_REASON = "manual boundary correction"
+
+
+def placeholders(df: DataFrame, cols: Sequence[str], reason: str | None = None) -> DataFrame:
+    """Rows whose texts hold a placeholder mark, or whose review reason is the placeholder reason."""
+    text = F.concat_ws("\n", *cols, *([reason] if reason else []))
+    marked = F.lit(False) if reason is None else F.coalesce(F.col(reason) == PLACEHOLDER_REASON, F.lit(False))
+    for m in MARKERS:
+        marked = marked | text.contains(m)
+    return df.where(marked)
 
 
 def merge_updates(fields: DataFrame, updates: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:

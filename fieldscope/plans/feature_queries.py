@@ -13,7 +13,7 @@ from fieldscope.plans.fixtures import AXES, FEATURES, VECTOR, oracle, view
 from fieldscope.plans.trace_queries import events
 
 K = ["protocol_name", "sample_id", "field_id"]
-CORR = FEATURES[:12]
+CORR = FEATURES
 
 
 def r6s(df, *names):

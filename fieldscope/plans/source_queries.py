@@ -107,7 +107,7 @@ def dissection_flatten(spark, sf):
     )
     path = scratch_path(spark, "dissection")
     _write_text(body.select(xml.alias("value")), path)
-    return X.read_dissection(spark, path, depth=3, one_per_line=True).select("packet_index", "protocol", "parent_field", "field_name", "field_offset", "field_length", "has_children")
+    return X.read_dissection(spark, path, one_per_line=True).select("packet_index", "protocol", "parent_field", "field_name", "field_offset", "field_length", "has_children")
 
 
 # --- streams ---

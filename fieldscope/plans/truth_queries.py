@@ -8,6 +8,7 @@ from fieldscope.operators import evaluate as L
 from fieldscope.operators import foreign as M
 from fieldscope.operators import truth as K
 from fieldscope.operators.profile import normalize_tags
+from fieldscope.plans.diff_queries import r6
 from fieldscope.plans.feature_queries import r6s
 from fieldscope.plans.fixtures import VECTOR, oracle, table, view
 
@@ -82,7 +83,6 @@ def export_truth(spark, sf):
 def bit_pattern(spark, sf):
     d = view(spark, sf, "fx_text")
     size = F.when(F.col("field_id") % 10 == 0, 2).otherwise(1)
-    bits = K.bit_pattern(F.substring(F.col("showname"), 1, 100), size)
     d = d.select("field_id", F.rpad(F.regexp_extract("showname", "^(.*?) =", 1), 9, ".").alias("p"), size.alias("size"))
     bits = K.bit_pattern(F.concat("p", F.lit(" = x")), F.col("size"))
     return d.select(
@@ -129,13 +129,16 @@ def collect_errors(spark, sf):
 
 def gap_rows(spark, sf):
     t = _truth(spark, sf)
-    return K.gap_rows(t, t.select(*RK, "payload_length").distinct(), RK, "payload_length").select(*RK, "a", "b", "field_id")
+    # Payloads of 33 bytes, which some ranges leave.
+    return K.gap_rows(t, t.select(*RK, F.lit(33).alias("payload_length")).distinct(), RK, "payload_length").select(*RK, "a", "b", "field_id")
 
 
 def placeholders(spark, sf):
-    d = view(spark, sf, "fx_text").withColumn("field_name", F.when(F.col("p_size") == 7, F.lit(" ")).otherwise(F.col("field_name")))
-    d = d.withColumn("parent_field", F.when(F.col("p_size") == 7, F.lit("")).when(F.col("p_size") == 9, F.lit("TODO later")).otherwise(F.col("parent_field")))
-    return K.placeholders(d, ["field_name", "parent_field"]).select("field_id")
+    d = view(spark, sf, "fx_text")
+    mark = F.element_at(F.array(*[F.lit(m) for m in K.MARKERS]), (F.col("p_size") % 4 + 1).cast("int"))
+    d = d.withColumn("parent_field", F.when(F.col("p_size") < 9, F.concat(F.lit("see "), mark)).when(F.col("p_size") == 9, F.lit("unknown, todo")).otherwise(F.col("parent_field")))
+    d = d.withColumn("reason", F.when(F.col("p_size") == 11, F.lit(K.PLACEHOLDER_REASON)).when(F.col("p_size") == 12, F.lit("")))
+    return K.placeholders(d, ["field_name", "parent_field"], "reason").select("field_id")
 
 
 def merge_updates(spark, sf):
@@ -312,8 +315,10 @@ def coverage_by_protocol(spark, sf):
 
 
 def normalize_sample_id(spark, sf):
-    d = view(spark, sf, "fx_tag").select("field_id", F.when(F.col("field_id") % 9 == 0, F.lit("other")).otherwise(F.format_string("sample_%03d", (F.col("field_id") % 40).cast("int"))).alias("sample_id"))
-    m = d.where(F.col("field_id") % 40 == 7).select("sample_id").distinct().where(F.col("sample_id") != "other").withColumn("packet_id", F.lit("pkt_mapped"))
+    d = view(spark, sf, "fx_tag").select("protocol_name", "field_id", F.when(F.col("field_id") % 9 == 0, F.lit("other")).otherwise(F.format_string("sample_%03d", (F.col("field_id") % 40).cast("int"))).alias("sample_id"))
+    # The same sample name stands for other packets in other protocols.
+    m = d.where((F.col("field_id") % 40 == 7) & F.col("protocol_name").isin("de", "en")).select("protocol_name", "sample_id").distinct().where(F.col("sample_id") != "other")
+    m = m.withColumn("packet_id", F.concat(F.lit("pkt_"), "protocol_name"))
     return L.normalize_sample_id(d, m).select("field_id", "packet_id")
 
 
@@ -336,7 +341,7 @@ def usage_summary(spark, sf):
 
 def nearest_label(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return L.nearest_label(e.where(F.col("id") % 5 != 0), e.where(F.col("id") % 5 == 0)).select("id", "nearest_id")
+    return L.nearest_label(e.where(F.col("id") % 5 != 0), e.where(F.col("id") % 5 == 0)).select("id", "nearest_id", r6("cosine"))
 
 
 # --- foreign ---
@@ -546,14 +551,14 @@ ORACLES = {
     ),
     "collect_errors": oracle("SELECT 'no object' AS error, count(*) AS docs FROM fx_text WHERE field_id % 4 <> 0", "fx_text"),
     "gap_rows": oracle(
-        """, u AS (SELECT DISTINCT protocol, sample_id, unnest(range(start_b, end_b + 1)) AS k FROM fx_range),
-        f AS (SELECT * FROM (SELECT protocol, sample_id, unnest(range(0, 40)) AS k FROM (SELECT DISTINCT protocol, sample_id FROM fx_range) d) w
+        """, u AS (SELECT DISTINCT protocol, sample_id, unnest(range(start_b, end_b + 1)) AS k FROM fx_range WHERE end_b < 33),
+        f AS (SELECT * FROM (SELECT protocol, sample_id, unnest(range(0, 33)) AS k FROM (SELECT DISTINCT protocol, sample_id FROM fx_range) d) w
               WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.protocol = w.protocol AND u.sample_id = w.sample_id AND u.k = w.k)),
         g AS (SELECT *, k - row_number() OVER (PARTITION BY protocol, sample_id ORDER BY k) AS g FROM f)
         SELECT protocol, sample_id, CAST(min(k) AS INT) AS a, CAST(max(k) AS INT) AS b, 'b:' || min(k) || ':' || max(k) AS field_id FROM g GROUP BY protocol, sample_id, g""",
         "fx_range",
     ),
-    "placeholders": oracle("SELECT field_id FROM fx_text WHERE p_size IN (7, 9)", "fx_text"),
+    "placeholders": oracle("SELECT field_id FROM fx_text WHERE p_size < 9 OR p_size = 11", "fx_text"),
     "merge_updates": oracle(
         """, u AS (SELECT field_id + 9 AS field_id FROM fx_tag WHERE field_id % 3 = 0)
         SELECT coalesce(t.field_id, u.field_id) AS field_id, CASE WHEN u.field_id IS NOT NULL THEN 'fresh' ELSE t.truth_tag END AS tag,
@@ -687,7 +692,7 @@ ORACLES = {
         "fx_tag",
     ),
     "normalize_sample_id": oracle(
-        """SELECT field_id, CASE WHEN field_id % 9 = 0 THEN 'other' WHEN field_id % 40 = 7 THEN 'pkt_mapped' ELSE printf('pkt_%04d', greatest(field_id % 40 - 1, 0)) END AS packet_id FROM fx_tag""", "fx_tag"
+        """SELECT field_id, CASE WHEN field_id % 9 = 0 THEN 'other' WHEN field_id % 40 = 7 AND protocol_name IN ('de', 'en') THEN 'pkt_' || protocol_name ELSE printf('pkt_%04d', greatest(field_id % 40 - 1, 0)) END AS packet_id FROM fx_tag""", "fx_tag"
     ),
     "cluster_eval": oracle(
         f""", d AS (SELECT DISTINCT protocol_name, field_name FROM fx_text WHERE p_size > 20), l AS (SELECT field_name, min(p_size) % 3 AS cluster FROM fx_text GROUP BY ALL),
@@ -706,7 +711,8 @@ ORACLES = {
         "fx_payload",
     ),
     "nearest_label": oracle(
-        """SELECT id, nearest_id FROM (SELECT u.vec_id AS id, k.vec_id AS nearest_id,
+        """SELECT id, nearest_id, ROUND(cosine, 6) AS cosine FROM (SELECT u.vec_id AS id, k.vec_id AS nearest_id,
+          list_cosine_similarity(CAST(u.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[])) AS cosine,
           row_number() OVER (PARTITION BY u.vec_id ORDER BY list_cosine_similarity(CAST(u.embedding AS DOUBLE[]), CAST(k.embedding AS DOUBLE[])) DESC, k.vec_id) AS r
           FROM embeddings u JOIN embeddings k ON u.vec_id % 5 <> 0 AND k.vec_id % 5 = 0) q WHERE r = 1"""
     ),

@@ -38,7 +38,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="fieldscope-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -15,17 +15,29 @@ _ATTRIBUTES = ["name", "showname", "size", "pos", "show", "value", "unmaskedvalu
 
 def _node(depth: int) -> T.StructType:
     fields = [T.StructField(f"_{a}", T.StringType()) for a in _ATTRIBUTES]
-    if depth > 0:
-        fields.append(T.StructField("field", T.ArrayType(_node(depth - 1))))
+    # What lies below the last level stays as text, so that it is seen.
+    fields.append(T.StructField("field", T.ArrayType(_node(depth - 1) if depth > 0 else T.StringType())))
     return T.StructType(fields)
 
 
-def packet_schema(depth: int = 8) -> T.StructType:
+def packet_schema(depth: int) -> T.StructType:
     proto = T.StructType([T.StructField(f"_{a}", T.StringType()) for a in _ATTRIBUTES] + [T.StructField("field", T.ArrayType(_node(depth)))])
     return T.StructType([T.StructField("proto", T.ArrayType(proto))])
 
 
-def read_packets(spark: SparkSession, paths: str, depth: int = 8, one_per_line: bool = False) -> DataFrame:
+def nesting(spark: SparkSession, paths: str, one_per_line: bool = False) -> int:
+    """Levels of fields below the outermost that the packets really have, found by doubling."""
+    depth = 4
+    while True:
+        level = read_packets(spark, paths, depth, one_per_line).select(F.explode("proto").alias("f")).select(F.explode("f.field").alias("f"))
+        for _ in range(depth):
+            level = level.select(F.explode("f.field").alias("f"))
+        if not level.where(F.size("f.field") > 0).limit(1).count():
+            return depth
+        depth *= 2
+
+
+def read_packets(spark: SparkSession, paths: str, depth: int, one_per_line: bool = False) -> DataFrame:
     """One row per packet with its number and protocol chain; the tree is read to ``depth`` levels.
 
     A document with one root is streamed by a single task per file.  Files with one
@@ -58,8 +70,11 @@ def selected_protocols(packets: DataFrame, only: str | None = None) -> DataFrame
     )
 
 
-def flatten_fields(protocols: DataFrame, depth: int = 8) -> DataFrame:
-    """Field rows of every level: hidden subtrees skipped, unnamed wrappers passed through to their parent."""
+def flatten_fields(protocols: DataFrame, depth: int) -> DataFrame:
+    """Field rows of every level: hidden subtrees skipped, unnamed wrappers passed through to their parent.
+
+    Fails when a kept node of the last level still holds fields.
+    """
     level = protocols.select("packet_index", "protocol", F.col("offset").alias("proto_offset"), F.lit(None).cast("string").alias("parent_field"), "_kids")
     out = None
     for d in range(depth + 1):
@@ -68,7 +83,9 @@ def flatten_fields(protocols: DataFrame, depth: int = 8) -> DataFrame:
         named = F.coalesce(F.col("f._name"), F.lit("")) != ""
         rows = rows.where(~named | (F.coalesce(F.col("f._hide"), F.lit("")) != "yes"))
         size = F.col("f._size").try_cast("int")
-        kids = F.size(F.coalesce(F.col("f.field"), F.array())) > 0 if deeper else F.lit(False)
+        kids = F.coalesce(F.size("f.field") > 0, F.lit(False))
+        if not deeper:
+            rows = rows.where(F.when(kids, F.raise_error(F.lit(f"fields nested deeper than {depth} levels"))).otherwise(F.lit(True)))
         bits = bit_pattern(F.col("f._showname"), size)
         here = rows.where(named).select(
             "packet_index", "protocol", "proto_offset", "parent_field", F.col("f._name").alias("field_name"),
@@ -86,6 +103,8 @@ def flatten_fields(protocols: DataFrame, depth: int = 8) -> DataFrame:
 
 
 def read_dissection(
-    spark: SparkSession, paths: str, depth: int = 8, only: str | None = None, one_per_line: bool = False
+    spark: SparkSession, paths: str, depth: int | None = None, only: str | None = None, one_per_line: bool = False
 ) -> DataFrame:
+    """Flat field rows of dissected packets, to the depth given or else to the depth there is."""
+    depth = nesting(spark, paths, one_per_line) if depth is None else depth
     return flatten_fields(selected_protocols(read_packets(spark, paths, depth, one_per_line), only), depth)
