@@ -1,9 +1,8 @@
 """Exact ranks and quantiles without sorting a key in one task.
 
-Equal values are first collapsed to one row with a count.  The distinct values
-of a key are then cut into value blocks by two monotone bucket functions (one on
-the magnitude of the value, one on its distance from the minimum), so neither
-far outliers nor a narrow cluster can fill a single block.  Blocks are ranked
+Equal values are first collapsed to one row with a count.  A key with many distinct values is
+cut into blocks at approximate quantiles of these values, so blocks hold about equally many of
+them whatever their spread; the cuts only form blocks, the results stay exact.  Blocks are ranked
 inside themselves and the counts of earlier blocks are carried over.
 """
 
@@ -16,37 +15,33 @@ from pyspark.sql import functions as F
 
 from fieldscope.functions.text import finite
 
-_STEPS = 1024
-_FLOOR = -1000
+#: A key with more distinct values than this is cut into _WIDE * _WIDE blocks.
+BLOCK_LIMIT = 1 << 16
+_WIDE = 16
+_PROBS = [i / (_WIDE * _WIDE) for i in range(1, _WIDE * _WIDE)]
 
 
-def _magnitude(x: Column) -> Column:
-    """Monotone bucket of x > 0: 1024 steps per power of two."""
-    e = F.greatest(F.floor(F.log2(x)), F.lit(_FLOOR).cast("long"))
-    step = F.floor(x * F.pow(F.lit(2.0), -e) * F.lit(float(_STEPS)))
-    return e * F.lit(2 * _STEPS) + step
+def value_blocks(df: DataFrame, keys: Sequence[str], value: str, *more: Column, limit: int = BLOCK_LIMIT) -> DataFrame:
+    """``df`` (rows of distinct values) with ``_blk``, a block number that rises with the value, and aggregates ``more`` per key."""
+    v = F.col(value).cast("double")
+    shape = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), F.percentile_approx(v, _PROBS, 10_000).alias("_c"), *more)
+    shape = shape.withColumn("_c", F.when(F.col("_d") > limit, F.col("_c"))).drop("_d")
+    d = df.join(shape, list(keys)) if keys else df.crossJoin(F.broadcast(shape))
+    under = lambda cuts: F.size(F.filter(cuts, lambda c: c < v))
+    # Two steps of _WIDE comparisons instead of one of _WIDE * _WIDE.
+    d = d.withColumn("_coarse", F.when(F.col("_c").isNotNull(), under(F.transform(F.sequence(F.lit(1), F.lit(_WIDE - 1)), lambda i: F.element_at("_c", i * _WIDE)))))
+    blk = F.col("_coarse") * _WIDE + under(F.slice("_c", F.col("_coarse") * _WIDE + 1, F.lit(_WIDE - 1)))
+    return d.withColumn("_blk", F.coalesce(blk, F.lit(0)).cast("long")).drop("_c", "_coarse")
 
 
-def _signed(x: Column) -> Column:
-    shift = F.lit(1100 * 2 * _STEPS).cast("long")
-    return (
-        F.when(x > 0, shift + _magnitude(x))
-        .when(x < 0, -(shift + _magnitude(-x)))
-        .otherwise(F.lit(0).cast("long"))
-    )
-
-
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, limit: int = BLOCK_LIMIT) -> DataFrame:
     """One row per (keys, value): ``n`` rows with it, ``below`` rows under it, ``total``."""
     counted = (
         df.where(finite(F.col(value)))
         .groupBy(*keys, F.col(value).alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    shape = counted.groupBy(*keys).agg(F.min("value").alias("_lo"), F.sum("n").alias("total"))
-    d = counted.join(shape, list(keys)) if keys else counted.crossJoin(F.broadcast(shape))
-    v = F.col("value").cast("double")
-    d = d.withColumn("_blk", F.struct(_signed(v), _signed(v - F.col("_lo").cast("double")))).drop("_lo")
+    d = value_blocks(counted, keys, "value", F.sum("n").alias("total"), limit=limit)
     carry = (
         d.groupBy(*keys, "_blk").agg(F.sum("n").alias("_s"))
         .withColumn(

@@ -12,6 +12,7 @@ from fieldscope.functions.ordered import line_block, number_rows, running_sums,
 from fieldscope.functions.ranks import value_ranks
 from fieldscope.functions.text import index_plain
 from fieldscope.operators.trace import after_first_taint
+from fieldscope.session import stored
 from fieldscope.schema import METRICS
 
 
@@ -167,12 +168,14 @@ def lcp_lengths(live: DataFrame, pairs: DataFrame) -> DataFrame:
 def diff_counts(events: DataFrame, pairs: DataFrame) -> DataFrame:
     """All numerators and denominators behind the metrics, one row per pair."""
     live = after_first_taint(events)
-    features = run_features(events)
+    # One row per run and per run and address: written once, used by both sides of a pair.
+    features = stored(run_features(events), "run-features")
+    sites = stored(run_sites(live), "sites")
     names = [c for c in features.columns if c != "run_id"]
     other = features.select("run_id", *[F.col(n).alias(f"other_{n}") for n in names])
     d = (
         pairs.join(other, "run_id").join(_base(features, names), "base_id")
-        .join(site_overlap(run_sites(live), pairs), ["base_id", "run_id"], "left")
+        .join(site_overlap(sites, pairs), ["base_id", "run_id"], "left")
         .join(lcp_lengths(live, pairs), ["base_id", "run_id"], "left")
     )
     d = d.na.fill(0, ["common_branch", "flips", "common_bb", "common_cmp", "common_l1", "common_mass"])

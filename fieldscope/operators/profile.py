@@ -102,7 +102,7 @@ def insertion_points(ranked: DataFrame, wanted: DataFrame, keys: Sequence[str])
     value takes the counts of the last reference value before it.
     """
     from fieldscope.functions.ordered import last_before
-    from fieldscope.functions.ranks import _signed
+    from fieldscope.functions.ranks import value_blocks
 
     keys = list(keys)
     both = (
@@ -111,7 +111,7 @@ def insertion_points(ranked: DataFrame, wanted: DataFrame, keys: Sequence[str])
         .groupBy(*keys, "value").agg(F.sum("_n").alias("_n"), F.max("_b").alias("_b"))
     )
     upto = F.when(F.col("_b").isNotNull(), F.col("_b") + F.col("_n"))
-    d = last_before(both, keys, F.col("value"), _signed(F.col("value").cast("double")), upto, "_prev")
+    d = last_before(value_blocks(both, keys, "value"), keys, F.col("value"), F.col("_blk"), upto, "_prev").drop("_blk")
     totals = ranked.groupBy(*keys).agg(F.max("total").alias("total"))
     d = d.join(totals, keys)
     return d.select(*keys, "value", F.coalesce("_b", "_prev", F.lit(0)).alias("below"), F.col("_n").alias("equal"), "total")

@@ -14,6 +14,7 @@ from fieldscope.functions.ordered import last_before, line_block
 from fieldscope.functions.text import index_groups
 from fieldscope.functions.units import bit_repr, byte_repr, label_bounds, span_label
 from fieldscope.operators.trace import after_first_taint
+from fieldscope.session import stored
 
 # Fixed mnemonic classes of byte evidence.
 COMPUTE = ["add", "adc", "sub", "sbb", "imul", "mul", "idiv", "div", "and", "or", "xor", "shl", "shr", "sar", "sal", "rol", "ror", "rcl", "rcr", "inc", "dec", "neg", "not", "lea"]
@@ -180,7 +181,8 @@ def fields_from_trace(events: DataFrame, merge: bool = False, drop: bool = False
         e = merge_subranges(e)
     if drop:
         e = drop_covered(e)
-    return segment_fields(field_stats(e))
+    # Evidence and statistics feed several steps each; both are small next to the trace.
+    return segment_fields(stored(field_stats(stored(e, "evidence")), "stats"))
 
 
 def bounds_check(fields: DataFrame, length: str = "payload_len", a: str = "a", b: str = "b") -> DataFrame:

@@ -8,7 +8,7 @@ from fieldscope.operators import bits as B
 from fieldscope.operators import segment as S
 from fieldscope.plans.fixtures import oracle, view
 from fieldscope.plans.trace_queries import events
-from fieldscope.session import cut_lineage
+from fieldscope.session import cut_lineage, stored
 
 RK = ["protocol", "sample_id"]
 
@@ -110,7 +110,7 @@ def token_fields(e):
 
 def bit_events(spark, sf):
     e = events(spark, sf)
-    return B.bit_use_events(e, token_fields(e))
+    return stored(B.bit_use_events(e, token_fields(e)), "bit-events")
 
 
 def bit_use_events(spark, sf):

@@ -7,6 +7,7 @@ from fieldscope.operators import planning as P
 from fieldscope.operators import diff as D
 from fieldscope.plans.fixtures import oracle, view
 from fieldscope.plans.trace_queries import events
+from fieldscope.session import stored
 
 
 def fields(spark, sf):
@@ -21,7 +22,7 @@ def fields(spark, sf):
 
 def _parts(spark, sf):
     e, f = events(spark, sf), fields(spark, sf)
-    return e, f, P.compare_evidence(e, f)
+    return e, f, stored(P.compare_evidence(e, f), "compare-evidence")
 
 
 def compare_evidence(spark, sf):

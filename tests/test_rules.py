@@ -122,3 +122,21 @@ def test_nearest_label_blocks_and_ties(spark):
         cosine = unit[:40] @ unit[i]
         assert got[i][0] == int(cosine.argmax()) and abs(got[i][1] - cosine.max()) < 1e-9
     assert got[100][0] == 3
+
+
+def test_value_blocks_follow_the_data(spark):
+    from fieldscope.functions import ranks
+
+    rng = np.random.default_rng(6)
+    values = np.concatenate([[0.0, -1e12], 1e9 + rng.random(20_000) * 1e-3, rng.integers(0, 3, 500).astype(float)])
+    d = spark.createDataFrame([("k", float(v)) for v in values] + [("small", 1.0), ("small", 1.0), ("small", float("nan")), ("small", None)], "k string, x double")
+    counted = d.where("k = 'k'").select("x").distinct()
+    sizes = [r["count"] for r in ranks.value_blocks(counted, [], "x", limit=1000).groupBy("_blk").count().collect()]
+    assert max(sizes) < 0.01 * counted.count() and len(sizes) > 200
+    for limit in (1000, 1 << 16):
+        got = {r.value: (r.n, r.below, r.total) for r in ranks.value_ranks(d, ["k"], "x", limit=limit).where("k = 'k'").collect()}
+        ordered = np.sort(values)
+        for v in rng.choice(values, 300):
+            low, high = np.searchsorted(ordered, v), np.searchsorted(ordered, v, "right")
+            assert got[float(v)] == (high - low, low, len(values))
+    assert [(r.value, r.n, r.below, r.total) for r in ranks.value_ranks(d, ["k"], "x").where("k = 'small'").collect()] == [(1.0, 2, 0, 2)]
