@@ -52,14 +52,13 @@ def _candidates(spark, sf):
 
 
 def grouped_candidates(spark, sf):
-    """Candidates before supplements (a fixture test checks the supplements)."""
     _, _, c = _candidates(spark, sf)
-    return c.where(~F.col("strategy").startswith("supplement")).select("run_id", "a", "b", "strategy_group", "pos", "strategy", "value_hex")
+    return c.select("run_id", "a", "b", "strategy_group", "pos", "strategy", "value_hex")
 
 
 def mutations(spark, sf):
     f, _, c = _candidates(spark, sf)
-    m = P.mutations(f, c.where(~F.col("strategy").startswith("supplement")))
+    m = P.mutations(f, c)
     return m.select("run_id", "a", "b", "name", "payload_hex", "final_value_hex")
 
 
@@ -105,7 +104,7 @@ def target_pick(spark, sf):
 
 def constraint_values(spark, sf):
     f, _, c = _candidates(spark, sf)
-    m = P.mutations(f, c.where(~F.col("strategy").startswith("supplement"))).withColumn("requested_value_hex", F.lit(None).cast("string"))
+    m = P.mutations(f, c).withColumn("requested_value_hex", F.lit(None).cast("string"))
     return P.constraint_values(m).groupBy("strategy_group", "strategy").agg(
         F.count(F.lit(1)).alias("values"), F.count_distinct("constraint_value").alias("distinct_values")
     )
@@ -186,9 +185,17 @@ raw AS (
   UNION ALL SELECT f.run_id, f.a, f.b, 'enum', x.o, 'enum_supplement', x.v FROM fd f, LATERAL (VALUES (1, 0), (2, 1), (3, f.mask)) x(o, v)
       WHERE NOT EXISTS (SELECT 1 FROM evd e WHERE e.run_id = f.run_id AND e.a = f.a AND e.b = f.b AND e.value <> f.base)
   UNION ALL SELECT run_id, a, b, 'extreme', x.o, x.s, x.v FROM fd, LATERAL (VALUES (1, 'zero', 0), (2, 'all_ff', mask), (3, 'base_minus_0x10', base - 16), (4, 'base_plus_0x10', base + 16)) x(o, s, v)),
-nrm AS (SELECT r.run_id, r.a, r.b, g, o, s, (v & f.mask) AS v, f.w, f.payload_hex FROM raw r JOIN fd f ON f.run_id = r.run_id AND f.a = r.a AND f.b = r.b WHERE (v & f.mask) <> f.base),
+nrm AS (SELECT r.run_id, r.a, r.b, g, o, s, (v & f.mask) AS v, f.w, f.payload_hex, f.base, f.mask FROM raw r JOIN fd f ON f.run_id = r.run_id AND f.a = r.a AND f.b = r.b WHERE (v & f.mask) <> f.base),
 fst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, a, b, g, v ORDER BY o) AS k FROM nrm) q WHERE k = 1),
-cnd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, a, b, g ORDER BY o) AS n, lpad(lower(to_hex(v)), w // 4, '0') AS vh FROM fst) q WHERE n <= 6),
+own6 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, a, b, g ORDER BY o) AS n FROM fst) q WHERE n <= 6),
+s0 AS (SELECT run_id, a, b, g, w, base, mask, payload_hex, list(v ORDER BY n) AS vs, list(s ORDER BY n) AS ss FROM own6 GROUP BY ALL)"""
+    # A short group grows by the neighbours of its members, one step each.
+    + "".join(
+        f""", s{i + 1} AS (SELECT run_id, a, b, g, w, base, mask, payload_hex, CASE WHEN ok THEN list_append(vs, v) ELSE vs END AS vs, CASE WHEN ok THEN list_append(ss, '{name}') ELSE ss END AS ss
+  FROM (SELECT *, len(vs) < 6 AND {i // 2} < len(vs) AND v <> base AND NOT list_contains(vs, v) AS ok FROM (SELECT *, (vs[{i // 2 + 1}] + {step}) & mask AS v FROM s{i}) q) r)"""
+        for i in range(12) for name, step in [(("supplement_minus_1", -1), ("supplement_plus_1", 1))[i % 2]]
+    )
+    + """, cnd AS (SELECT *, lpad(lower(to_hex(v)), w // 4, '0') AS vh FROM (SELECT run_id, a, b, g, w, payload_hex, unnest(vs) AS v, unnest(ss) AS s, unnest(range(1, len(vs) + 1)) AS n FROM s12) q),
 mut AS (SELECT run_id, a, b, g, s, format('{}_{}_r1_{:02d}', g, s, n) AS name, substr(payload_hex, 1, 2 * a) || vh || substr(payload_hex, 2 * b + 3) AS payload_hex, '0x' || vh AS final_value_hex FROM cnd)"""
 )
 
