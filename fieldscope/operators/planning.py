@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldscope.functions.ordered import line_block, next_row, number_rows, top_k
 from fieldscope.functions.text import hex_value, immediates, index_expanded, untainted_values
 from fieldscope.functions.units import hex_add, mask_value, max_hex, value_hex, write_bits, write_bytes
+from fieldscope.operators.matrix import hash_order
 from fieldscope.operators.trace import after_first_taint
 
 GROUPS = ["neighborhood", "boundary", "enum", "extreme"]
@@ -315,7 +316,7 @@ def select_targets(fields: DataFrame, spec: str | None = None, done: DataFrame |
         d = d.join(done.select(*keys, "repr").distinct(), [*keys, "repr"], "left_anti")
     if seed is None:
         return d
-    pick = F.struct(F.xxhash64(F.lit(seed), *[F.col(c) for c in keys], F.col("repr")), F.col("repr"))
+    pick = F.struct(hash_order(seed, *[F.col(c) for c in keys], F.col("repr")), F.col("repr"))
     names = [c for c in d.columns if c not in keys]
     return d.groupBy(*keys).agg(F.min_by(F.struct(*names), pick).alias("_u")).select(*keys, "_u.*")
 

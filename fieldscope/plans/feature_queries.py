@@ -615,6 +615,12 @@ ORACLES = {
         FROM fx_text, (VALUES ('high'), ('low')) v(side) WHERE field_id % 3 <> 0 GROUP BY ALL""",
         "fx_text",
     ),
+    "shuffled_features": oracle(
+        """, h AS (SELECT field_id, mutation_id, row_number() OVER (PARTITION BY field_id ORDER BY md5(concat_ws('|', 7, field_id, mutation_id)), mutation_id) AS p FROM fx_vector),
+        g AS (SELECT field_id, grp, row_number() OVER (PARTITION BY field_id ORDER BY grp) AS p FROM fx_vector)
+        SELECT field_id, grp, mutation_id FROM h JOIN g USING (field_id, p)""",
+        "fx_vector",
+    ),
     "normalize_tags": oracle(
         """SELECT field_id, CASE field_id % 3 WHEN 0 THEN 'identifier;data_value' WHEN 1 THEN 'addressing' ELSE 'length_or_count;identifier' END AS tags FROM fx_tag""", "fx_tag"
     ),

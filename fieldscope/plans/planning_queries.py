@@ -245,6 +245,11 @@ ORACLES = {
     "select_targets": oracle(
         _FIELDS + "SELECT run_id, a, b, CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || ',' || b END AS repr FROM fd WHERE a % 2 = 1", "fx_payload"
     ),
+    "target_pick": oracle(
+        _FIELDS + """, rp AS (SELECT run_id, CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || ',' || b END AS repr FROM fd)
+        SELECT run_id, repr FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY md5(concat_ws('|', 7, run_id, repr)), repr) AS r FROM rp) q WHERE r = 1""",
+        "fx_payload",
+    ),
     "constraint_values": oracle(
         _CAND
         + """SELECT g AS strategy_group, s AS strategy, count(*) AS values, count(DISTINCT final_value_hex) AS distinct_values

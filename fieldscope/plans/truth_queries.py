@@ -403,6 +403,31 @@ QUERIES = {
     )
 }
 
+def _holds(text, words):
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+def _rule_sql(parts):
+    """One rule of the label table as a condition; masks are not given here."""
+    token = lambda words: f"regexp_matches(name, '(^|[._s\\\\])({'|'.join(words)})($|[._s\\\\])')"
+    terms = ["false" if w == "mask" else token(words) if w == "token" else _holds(w, words) for w, words in parts]
+    return "(" + " OR ".join(terms) + ")"
+
+
+_WORDS = "['trans_id', 'len', 'func', 'addr', 'value', 'oa', 'month timestamp', 'tag']"
+_LBL = (
+    f""", lw AS (SELECT field_id, protocol_name, lower(replace(field_name, ' ', '.') || '.' || {_WORDS}[field_id % 8 + 1]) AS name, parent_field FROM fx_text),
+lt AS (SELECT *, concat_ws(' ', name, nullif(parent_field, '')) AS text FROM lw),
+lr AS (SELECT *, CASE {' '.join(f'WHEN {_rule_sql(parts)} THEN {i}' for i, (_, _, parts) in enumerate(K.RULES))} END AS rule,
+  {_holds('name', K.CONSTANT_NAMES)} OR {_holds('text', K.CONSTANT_TEXT)} AS constant, {_holds('text', K.STRUCTURE)} AS structure FROM lt),
+ll AS (SELECT *, {[r[0] for r in K.RULES]}[rule + 1] AS plain, {[r[1] for r in K.RULES]}[rule + 1] AS tag FROM lr),
+lb AS (SELECT field_id, protocol_name,
+  CASE WHEN rule IS NULL THEN 'unknown' WHEN plain <> 'timestamp' THEN plain {' '.join(f"WHEN {_holds('text', words)} THEN '{label}'" for label, words in K.TIME_RULES)} ELSE 'value' END AS label,
+  coalesce(tag, 'other_or_unknown') AS coarse_tag, rule IS NULL AS needs_review,
+  CASE WHEN rule IS NULL AND structure THEN 'structure/encoding wrapper; review if it maps to a finer semantic role' WHEN rule IS NULL THEN 'no rule matched'
+       WHEN plain = 'protocol_id' AND rule = 3 THEN 'version treated as protocol identifier' WHEN rule = 8 THEN 'transport/APDU sequence counter' ELSE '' END AS note,
+  concat_ws(',', CASE WHEN constant THEN 'constant_like' END, CASE WHEN structure THEN 'structure_or_encoding' END) AS structure_tags FROM ll)"""
+)
 _TP = """, t AS (SELECT DISTINCT protocol, sample_id, start_b AS a, end_b AS b FROM fx_range),
 p AS (SELECT DISTINCT protocol, sample_id, start_b AS a, pred_end_b AS b FROM fx_range WHERE pred_keep = 1),
 x AS (SELECT coalesce(t.protocol, p.protocol) AS protocol, coalesce(t.sample_id, p.sample_id) AS sample_id, coalesce(t.a, p.a) AS a, coalesce(t.b, p.b) AS b,
@@ -542,6 +567,14 @@ ORACLES = {
         """SELECT event_id, CASE WHEN event_id % 3 = 1 THEN lpad(substr(payload_hex, 1, 4), 8, '0') ELSE lpad(substr(payload_hex, 1, 3), 8, '0') END AS raw_bytes FROM fx_payload""",
         "fx_payload",
     ),
+    "label_fields": oracle(_LBL + "SELECT field_id, label, coarse_tag, needs_review, note, structure_tags FROM lb", "fx_text"),
+    "label_summary": oracle(
+        _LBL + """, c AS (SELECT 'protocol' AS kind, protocol_name AS value FROM lb UNION ALL SELECT 'tag', coarse_tag FROM lb
+        UNION ALL SELECT 'needs_review', CAST(needs_review AS VARCHAR) FROM lb UNION ALL SELECT 'label', label FROM lb),
+        n AS (SELECT kind, value, count(*) AS n FROM c GROUP BY ALL)
+        SELECT kind, value, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, value) AS r FROM n) q WHERE kind <> 'label' OR r <= 3""",
+        "fx_text",
+    ),
     "label_candidates": oracle(
         """SELECT CASE WHEN sample_id % 2 = 0 THEN 'bit:' || start_b || ':' || end_b || ':1:3' ELSE 'b:' || start_b || ':' || end_b END AS field_id, count(*) AS rows FROM fx_range GROUP BY ALL""",
         "fx_range",
