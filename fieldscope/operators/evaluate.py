@@ -321,12 +321,13 @@ def _best_of_blocks(parts):
             )
 
 
-def nearest_label(unknown: DataFrame, known: DataFrame, rows: int = 2048) -> DataFrame:
+def nearest_label(unknown: DataFrame, known: DataFrame, rows: int = 2048, pivots: int | None = None) -> DataFrame:
     """Most similar labelled vector (cosine, lowest id on ties) of every unlabelled one; exact.
 
     Vectors are packed into blocks; each pair of blocks is one row and one matrix product, of
     which only the best of each unlabelled vector goes on.  So rows between stages number
-    vectors times labelled blocks, never vectors times vectors.
+    vectors times labelled blocks, never vectors times vectors.  ``pivots`` is accepted from
+    earlier callers and has no effect: there are no pivots any more.
     """
     labelled = _blocks(known, rows).select(F.col("ids").alias("k_ids"), F.col("data").alias("k_data"), F.col("n").alias("k_n"))
     pairs = _blocks(unknown, rows).join(labelled, how="cross")
