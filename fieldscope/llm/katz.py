@@ -162,7 +162,7 @@ class Chunk:
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.sizes = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
         self.vocab = np.frombuffer(row["vocab"], np.uint64)
-        self.tokens = _get(row["tokens"], np.uint32).astype(np.int64)
+        self.tokens = _get(row["tokens"], np.uint32)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.learns = np.repeat(~self.held, self.sizes)
         self.context = None
@@ -201,10 +201,19 @@ class Chunk:
 
     def prepare(self, docs_learnt: int) -> None:
         """Distinct (context, word) pairs of the next order, dealt to places, contexts together."""
-        context, counts = self._contexts(docs_learnt)
-        hashes, first, number = np.unique(context, return_index=True, return_inverse=True)
-        pairs, at, self.pair_of = np.unique(number * len(self.vocab) + self.tokens, return_index=True, return_inverse=True)
-        self.context, context_counts = context, counts[first]
+        self.context, counts = self._contexts(docs_learnt)
+        self.counts = None
+        hashes, first, number = np.unique(self.context, return_index=True, return_inverse=True)
+        context_counts = counts[first]
+        del counts, first
+        # In place, and let go at once: these are the largest arrays of a task.
+        number *= len(self.vocab)
+        number += self.tokens
+        pairs, at, pair_of = np.unique(number, return_index=True, return_inverse=True)
+        del number
+        self.pair_of = pair_of.astype(np.uint32)
+        del pair_of
+        lower, self.p = self.p[at], None
         own, word = pairs // len(self.vocab), self.vocab[pairs % len(self.vocab)]
         local = np.bincount(self.pair_of[self.learns], minlength=len(pairs)).astype(np.uint32)
         # A frequent context has several entries, dealt by the following word; each is asked for.
@@ -223,7 +232,7 @@ class Chunk:
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         self.plan = [(b, order[i:j], sizes[i:j], pair_order[bounds[i] : bounds[j]]) for b, i, j in cuts]
         self.entries, self.entry_owner, self.wanted = entries, owner, open_[owner]
-        self.pair_word, self.pair_local, self.pair_lower, self.pair_context = word, local, self.p[at], own
+        self.pair_word, self.pair_local, self.pair_lower, self.pair_context = word, local, lower, own
         self.context_counts = context_counts
 
     def ask_pairs(self) -> list[tuple]:
@@ -329,7 +338,7 @@ def katz_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     order: int = 2,
-    chunk_tokens: int = 1 << 21,
+    chunk_tokens: int = 3 << 19,
     place_tokens: int = 1 << 20,
     split: int = 1 << 20,
 ) -> DataFrame:
