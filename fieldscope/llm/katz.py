@@ -55,6 +55,26 @@ def _get(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(_OPEN.decompress(raw), kind)
 
 
+def _put_words(keys: np.ndarray) -> bytes:
+    """The low seven bytes of word hashes; within one context that tells words apart."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _get_words(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 7, 8), np.uint8)
+    wide[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return wide.view(np.uint64).reshape(-1)
+
+
+def _put_planes(a: np.ndarray) -> bytes:
+    """Numbers of four bytes, all first bytes before all second ones: high bytes repeat."""
+    return _SQUEEZE.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _get_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_OPEN.decompress(raw), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+
+
 def _put_floats(a: np.ndarray) -> bytes:
     """Few distinct values are sent once and then by number."""
     values, number = np.unique(a, return_inverse=True)
@@ -144,7 +164,7 @@ def chunk_table(docs: DataFrame, id_col: str, text_col: str, held: Column, chunk
 
         def close(number, ids, marks, sizes, tokens, vocab):
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocab), np.uint64, len(vocab))
-            return number, sum(sizes), ids, np.array(marks, np.uint8).tobytes(), np.array(sizes, np.uint32).tobytes(), hashes.tobytes(), _put(np.concatenate(tokens))
+            return number, sum(sizes), ids, np.array(marks, np.uint8).tobytes(), np.array(sizes, np.uint32).tobytes(), hashes.tobytes(), _put_planes(np.concatenate(tokens))
 
         yield from batches(packed(), schema, 1)
 
@@ -162,7 +182,7 @@ class Chunk:
         self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
         self.sizes = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
         self.vocab = np.frombuffer(row["vocab"], np.uint64)
-        self.tokens = _get(row["tokens"], np.uint32)
+        self.tokens = _get_planes(row["tokens"])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.learns = np.repeat(~self.held, self.sizes)
         self.context = None
@@ -237,7 +257,7 @@ class Chunk:
 
     def ask_pairs(self) -> list[tuple]:
         return [
-            (b, self.number, self.entries[e].tobytes(), _put(n.astype(np.uint32)), np.packbits(self.wanted[e]).tobytes(), self.pair_word[p].tobytes(), _put(self.pair_local[p]), _put_floats(self.pair_lower[p]))
+            (b, self.number, self.entries[e].tobytes(), _put(n.astype(np.uint32)), np.packbits(self.wanted[e]).tobytes(), _put_words(self.pair_word[p]), _put(self.pair_local[p]), _put_floats(self.pair_lower[p]))
             for b, e, n, p in self.plan
         ]
 
@@ -281,7 +301,7 @@ def answer(level: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        keys = [np.frombuffer(r["keys"], np.uint64) if level == 1 else _get_words(r["keys"]) for r in rows]
         counts = np.concatenate([_get(r["counts"], np.uint32) for r in rows])
         bounds = np.cumsum([0] + [len(k) for k in keys])
         keys = np.concatenate(keys)
