@@ -91,7 +91,7 @@ def plan(
 
     Sources without any token have no share; their blocks are taken once.
     """
-    marked = blocks(docs, id_col, text_col, source_col, n_blocks)
+    marked = blocks(docs.select(F.col(id_col), F.col(text_col), F.col(source_col)), id_col, text_col, source_col, n_blocks)
     table = stored(marked.groupBy("__source", "__block").agg(F.sum("__tokens").alias("tokens")), "blocks")
     sources = stored(table.groupBy("__source").agg(F.sum("tokens").alias("tokens")), "sources")
     alpha = exponent(sources.where("tokens > 0"), entropy_share, most_epochs)
@@ -136,14 +136,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents themselves, once for every epoch that takes them, with their own columns only.
 
     Epochs follow one another, so copies of a document lie far apart; inside each partition rows
-    come in the order of the permuted blocks.
+    come in the order of the permuted blocks.  Further columns may have any name.
     """
     schedule = plan(docs, id_col, text_col, source_col, n_blocks=n_blocks, **options)
     last = schedule.agg(F.max("epoch").alias("e")).first()["e"] or 0
     out = docs.limit(0)
-    marks = blocks(docs, id_col, text_col, source_col, n_blocks)
+    # The row travels as one struct, so that no column of it can be taken for a mark.
+    whole = docs.select(F.col(id_col), F.col(text_col), F.col(source_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    marks = blocks(whole, id_col, text_col, source_col, n_blocks).select("__source", "__block", "__row")
     for epoch in range(1, last + 1):
         part = marks.join(schedule.where(F.col("epoch") == epoch).select("__source", "__block", "place"), ["__source", "__block"])
-        part = part.sortWithinPartitions("place").select(*[marks[c] for c in docs.columns])
+        part = part.sortWithinPartitions("place").select("__row.*")
         out = part if epoch == 1 else out.unionByName(part)
     return out

@@ -154,12 +154,11 @@ def test_compression_verdicts(spark):
 def test_tokens_equal_the_tokenizer_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoder, plain = packing.vocabulary(path), Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     rng = random.Random(9)
     pool = "abc XYZ'sll  \n\t\r\x0b\x00\x85é日本語½²𝟙ſ—…😀‍　<|endoftext|>#*"
-    texts = pq.read_table(TABLE)["text"].to_pylist() + ["".join(rng.choices(pool, k=rng.randint(0, 80))) for _ in range(3000)] + [" " * 5000, "a" * 3000, "<|endoftext|>"]
+    texts = pq.read_table(TABLE)["text"].to_pylist() + ["".join(rng.choices(pool, k=rng.randint(0, 80))) for _ in range(3000)] + [" " * 5000, "a" * 3000, "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>\n", "<|endoftext"]
     for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False)):
-        assert encoder.encode_ordinary(text) == want.ids
+        assert encoder.encode(text, allowed_special="all") == want.ids
 
 
 def test_level_choice_is_the_smallest_sum_of_squares():
@@ -237,5 +236,8 @@ def test_mixing_odd_input(spark):
     out = mixing.mixed_documents(docs.select("doc_id", "text", "lang", "source", "n_chars", "epoch"))
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "epoch"]
+    marked = docs.withColumns({n: F.lit(n) for n in ("place", "tokens", "weight", "__source", "__block", "__row")})
+    out = mixing.mixed_documents(marked)
+    assert out.columns == marked.columns and {r["__source"] + r.place for r in out.collect()} == {"__sourceplace"}
     assert mixing.mixture(docs.drop("epoch")).where("doc_id = 50").count() == 1
     assert mixing.mixture(table(spark, [])).count() == 0 and mixing.mixed_documents(table(spark, [])).count() == 0
