@@ -321,6 +321,24 @@ ORACLES = {
         "after_taint",
     ),
     "bit_resolve": oracle(_RESOLVE + "SELECT * FROM fin", "after_taint"),
+    "bitfield_counts": oracle(
+        _RESOLVE
+        + """, fw AS (SELECT fin.run_id, fin.field_id, lo, hi, width FROM fin JOIN dc USING (run_id, field_id)),
+        fp AS (SELECT *, coalesce(max(hi) OVER (PARTITION BY run_id, field_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS pm FROM fw),
+        fl AS (SELECT width, true AS synthetic FROM fp WHERE lo > pm + 1 UNION ALL SELECT width, false FROM fp WHERE hi > pm
+          UNION ALL SELECT width, true FROM fp GROUP BY run_id, field_id, width HAVING max(hi) < width - 1)
+        SELECT width, count(*) AS subfields, count(*) FILTER (WHERE synthetic) AS synthetic_gap_subfields,
+          count(*) FILTER (WHERE NOT synthetic) AS non_synthetic_subfields FROM fl GROUP BY width""",
+        "after_taint",
+    ),
+    "bit_flat_mode": oracle(
+        _BIT
+        + """, fb AS (SELECT DISTINCT run_id, field_id, bits, unnest(bits) AS bit FROM bx WHERE part),
+        fs AS (SELECT DISTINCT run_id, field_id, min(bit) AS lo, max(bit) AS hi FROM
+          (SELECT *, bit - row_number() OVER (PARTITION BY run_id, field_id, bits ORDER BY bit) AS g FROM fb) q GROUP BY run_id, field_id, bits, g)
+        SELECT CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, count(*) AS fields FROM fs GROUP BY ALL""",
+        "after_taint",
+    ),
     "bit_layout": oracle(
         _RESOLVE + "SELECT run_id, field_id, string_agg(label, ' ' ORDER BY hi DESC, lo) AS layout FROM fin GROUP BY run_id, field_id", "after_taint"
     ),

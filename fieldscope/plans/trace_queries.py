@@ -147,6 +147,36 @@ ORACLES = {
         "SELECT run_id, line_no, tid, kind, loop, addr, disasm, mnemonic, idx_raw, info_raw, branch FROM parsed", "parsed"
     ),
     "trace_thread_select": oracle(_CHOICE + "SELECT run_id, line_no, tid, target_tid, kind FROM sel", "parsed"),
+    "thread_select_memory": oracle(
+        _CHOICE
+        + """, rt AS (SELECT run_id, run_id % 7 AS sample_id, list(tid ORDER BY fl) AS tids, list(fl ORDER BY fl) AS fls FROM tc GROUP BY run_id),
+        rr AS (SELECT rt.*, target_tid AS plain, row_number() OVER (PARTITION BY sample_id ORDER BY run_id) AS i FROM rt JOIN choice USING (run_id)),
+        walk AS (WITH RECURSIVE w AS (
+          SELECT DISTINCT sample_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS BIGINT) AS run_id, CAST(NULL AS VARCHAR) AS target_tid,
+            CAST(NULL AS INT) AS start_line FROM rr
+          UNION ALL
+          SELECT sample_id, i, list_append(used, pick), run_id, pick, fls[list_position(tids, pick)] FROM (
+            SELECT r.*, used, coalesce(list_filter(tids, lambda t: NOT list_contains(used, t))[1], plain) AS pick
+            FROM w JOIN rr r ON r.sample_id = w.sample_id AND r.i = w.i + 1) q)
+          SELECT * FROM w)
+        SELECT sample_id, run_id, target_tid, start_line FROM walk WHERE i > 0""",
+        "parsed",
+    ),
+    "function_attribution": oracle(
+        """, cl AS (SELECT run_id, line_no, n % 3 = 0 AS leaves, 'fn' || (n % 4) AS name, row_number() OVER (PARTITION BY run_id ORDER BY line_no) AS i
+          FROM (SELECT run_id, line_no, CAST(split_part(addr, '0x', 2) AS INT) AS n FROM parsed WHERE kind = 'BasicBlock') q),
+        st AS (WITH RECURSIVE s AS (
+          SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS stack FROM cl
+          UNION ALL
+          SELECT s.run_id, c.i, CASE WHEN NOT leaves THEN list_append(stack, name)
+              WHEN list_contains(stack, name) THEN stack[1:len(stack) - list_position(list_reverse(stack), name)] ELSE stack END
+          FROM s JOIN cl c ON c.run_id = s.run_id AND c.i = s.i + 1)
+          SELECT * FROM s)
+        SELECT p.run_id, p.line_no, CASE WHEN kind = 'BasicBlock' THEN 'Function' ELSE kind END AS kind,
+          CASE WHEN kind = 'BasicBlock' THEN z.name ELSE coalesce(stack[-1], '') END AS function
+        FROM parsed p ASOF LEFT JOIN (SELECT cl.run_id, cl.line_no, name, stack FROM st JOIN cl USING (run_id, i)) z ON p.run_id = z.run_id AND p.line_no >= z.line_no""",
+        "parsed",
+    ),
     "trace_trim": oracle(
         """, s AS (SELECT run_id, min(CASE WHEN kind = 'Taint' THEN line_no END) AS f,
                    max(CASE WHEN kind = 'Instruction' THEN line_no END) AS l FROM parsed GROUP BY run_id)

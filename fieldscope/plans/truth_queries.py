@@ -219,6 +219,11 @@ def packet_score(spark, sf):
     return r6s(L.packet_score(_packets(spark, sf), b, RK), "score")
 
 
+ABLATION = [
+    "bitfield_precision", "bitfield_recall", "bitfield_f1", "subfield_precision", "subfield_recall", "subfield_f1", "exact_partition_recall",
+]
+
+
 def ablation_table(spark, sf):
     """Two prediction variants as modes."""
     from fieldscope.operators.bits import ablation_table as pivot
@@ -234,7 +239,7 @@ def ablation_table(spark, sf):
         )]).withColumn("mode", F.lit(mode))
         long = s.unpivot(["mode"], [c for c in s.columns if c != "mode"], "metric", "value")
         out = long if out is None else out.unionByName(long)
-    return pivot(out)
+    return pivot(out).select("mode", *[F.round(c, 6).alias(c) for c in ABLATION])
 
 
 def compare_packets(spark, sf):
@@ -641,6 +646,19 @@ ORACLES = {
           ROUND({_ratio('exact_match', 'detection_tp + detection_fn')}, 6) AS exact_match_recall, ROUND({_ratio('exact_match', 'detection_tp + detection_fp')}, 6) AS exact_match_precision FROM bm""",
         "fx_range",
     ),
+    "ablation_table": oracle(
+        _BITS
+        + f""", am AS (SELECT DISTINCT 'full' AS mode, protocol, pa, lo, hi, 0 AS side FROM tb UNION ALL SELECT DISTINCT 'full', protocol, pa, lo, hi, 1 FROM pb
+          UNION ALL SELECT DISTINCT 'flat_evidence', protocol, pa, lo, hi, s FROM tb, (VALUES (0), (1)) v(s)),
+        ac AS (SELECT mode, protocol, pa, lo, hi, bool_or(side = 0) AS it, bool_or(side = 1) AS ip FROM am GROUP BY ALL),
+        ap AS (SELECT mode, protocol, pa, bool_or(it) AS it, bool_or(ip) AS ip, bool_and(it AND ip) AS same, {_counts('subfield_')} FROM ac GROUP BY mode, protocol, pa),
+        ad AS (SELECT mode, protocol, sum(subfield_tp) AS subfield_tp, sum(subfield_fp) AS subfield_fp, sum(subfield_fn) AS subfield_fn, count(*) FILTER (WHERE same) AS exact,
+          {_counts('bitfield_')} FROM ap GROUP BY mode, protocol),
+        az AS (SELECT mode, {_scores('bitfield_', False, ('precision', 'recall', 'f1'))}, {_scores('subfield_', False, ('precision', 'recall', 'f1'))},
+          {_ratio('exact', 'bitfield_tp + bitfield_fn')} AS exact_partition_recall FROM ad)
+        SELECT mode, {', '.join(f'ROUND(avg({c}), 6) AS {c}' for c in ABLATION)} FROM az GROUP BY mode""",
+        "fx_range",
+    ),
     "packet_score": oracle(
         _PK
         + _BITS
