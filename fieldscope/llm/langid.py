@@ -22,6 +22,7 @@ from fieldscope.llm.common import batches
 UNKNOWN = "und"
 ORDER = 3
 BUCKET_BITS = 16
+#: Letters and, beyond them, numbers such as fractions, which are sorted out one by one.
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII that is no letter separates words; bytes of other characters stay.
 _SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -38,7 +39,7 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(found.group().isalpha() for found in _LETTER.finditer(text))
 
 
 @dataclass

@@ -40,6 +40,11 @@ def test_language_odd_input(spark):
     assert langid.detect(docs.limit(0), profiles).count() == 0
 
 
+def test_letters():
+    assert all(map(langid.has_letter, ["a", "1 é", "½ß", "語", "ʰ"]))
+    assert not any(map(langid.has_letter, [None, "", "12 _", "½²", "Ⅷ ٣", "\u0301 😀"]))
+
+
 def test_mixture_likelihood_never_falls():
     rng = np.random.default_rng(0)
     p = rng.dirichlet(np.ones(40), 3)
