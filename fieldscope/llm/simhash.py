@@ -144,7 +144,11 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of docs whose id is its component's; of rows that repeat this id one stays, rows without id stay."""
-    groups = near_duplicates(docs, id_col, text_col, **options)
+    return keep_firsts(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+
+
+def keep_firsts(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """keep_one for given groups (id, component)."""
     # Not only which ids go, but which come more than once: both are narrow tables.
     ids = stored(groups.where("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("copies")).select(
         F.col("id").alias("__id"), (F.col("id") == F.col("component")).alias("__stays"), (F.col("copies") > 1).alias("__again")

@@ -13,7 +13,8 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldscope.llm import compression, mixing, packing, simhash
+import corpus_pipeline
+from fieldscope.llm import compression, copies, mixing, packing, simhash
 from fieldscope.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -241,3 +242,57 @@ def test_mixing_odd_input(spark):
     assert out.columns == marked.columns and {r["__source"] + r.place for r in out.collect()} == {"__sourceplace"}
     assert mixing.mixture(docs.drop("epoch")).where("doc_id = 50").count() == 1
     assert mixing.mixture(table(spark, [])).count() == 0 and mixing.mixed_documents(table(spark, [])).count() == 0
+
+
+def jaccard(a, b):
+    a, b = (set(copies.shingles(t.encode()).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def components_of(texts):
+    """Smallest index reachable over pairs at 0.8, by brute force."""
+    sets = [set(copies.shingles(t.encode()).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def changed(rng, text, times):
+    parts = text.split()
+    for _ in range(times):
+        parts[rng.randrange(len(parts))] = f"z{rng.random()}"
+    return " ".join(parts)
+
+
+def test_near_dedup_stage_finds_planted_copies(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))) for _ in range(400)]
+    planted = [changed(rng, t, max(1, len(t.split()) // rng.randint(36, 60))) for t in texts]
+    alike = [i for i, p in enumerate(planted) if jaccard(texts[i], p) >= 0.8]
+    assert len(alike) > 150 and len(alike) < 400
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts + planted)]
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, table(spark, rows), "").collect()}
+    gone = set(range(len(rows))) - kept
+    assert gone <= {400 + i for i in alike} and len(gone) >= 0.99 * len(alike)
+
+
+@pytest.mark.parametrize("limit,block", [(1000, 512), (4, 512), (4, 16)])
+def test_near_copies_equal_brute_force_in_crowded_and_plain_keys(spark, limit, block):
+    rng = random.Random(6)
+    base = " ".join(f"w{i}" for i in range(200))
+    texts = [changed(rng, base, rng.randint(0, 14)) for _ in range(120)] + [changed(rng, "x " + base, 20) for _ in range(20)] + ["one", "one", "", " "]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    got = {r.id: r.component for r in copies.near_copies(table(spark, rows), bands=40, rows=2, bucket_limit=limit, block=block).collect()}
+    want = components_of(texts[:-2]) + [142, 142]
+    assert [got[i] for i in range(len(rows))] == want and 5 < len(set(want)) < 140
+
+
+def test_near_copies_odd_input(spark):
+    docs = table(spark, odd_rows())
+    kept = [r.doc_id for r in copies.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == [1, 4, 5, 6, 8, 9, None]
+    assert copies.keep_one(table(spark, [])).count() == 0
