@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -23,6 +24,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from fieldscope.llm.common import batches
 
@@ -33,7 +35,8 @@ def vocabulary(path: str) -> tiktoken.Encoding:
     """Encoder for a byte-level BPE file of the tokenizers library.
 
     It gives the ids which that library gives (tests compare them), three times as fast: the
-    strings of the file's added tokens become those tokens' ids, also inside a text.
+    strings of the file's added tokens become those tokens' ids, also inside a text.  Texts that
+    its pattern engine gives up on raise ValueError: see ``encoder``.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -46,6 +49,27 @@ def vocabulary(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Text -> ids of the tokenizers library.
+
+    The engine behind ``vocabulary`` gives up on white-space runs of about a million characters;
+    such a text goes to the library itself, as a whole.
+    """
+    fast = vocabulary(path)
+
+    @cache
+    def library() -> Tokenizer:
+        return Tokenizer.from_file(path)
+
+    def encode(text: str) -> list[int]:
+        try:
+            return fast.encode(text, allowed_special="all")
+        except ValueError:
+            return library().encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
 class LevelPacker:
     """Sum-of-squares packing of (key, ids) into windows of ``capacity`` ids."""
 
@@ -154,13 +178,13 @@ def pack(
     )
 
     def run(parts):
-        encoder = vocabulary(path)
+        encode = encoder(path)
         packer = LevelPacker(capacity, most_open, TaskContext.get().partitionId() << 40)
 
         def placed():
             for batch in parts:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = encoder.encode(text.as_py() or "", allowed_special="all")
+                    ids = encode(text.as_py() or "")
                     ids.append(END_ID)
                     yield from packer.add(doc, np.array(ids, "<u4"))
             yield from packer.close()

@@ -296,3 +296,9 @@ def test_near_copies_odd_input(spark):
     kept = [r.doc_id for r in copies.keep_one(docs).collect()]
     assert sorted(kept, key=str) == [1, 4, 5, 6, 8, 9, None]
     assert copies.keep_one(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("text", [" " * 1_500_000 + "x", "\n" * 1_500_000 + "x"], ids=["blanks", "newlines"])
+def test_tokens_of_very_long_white_space(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.encoder(path)(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
