@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.llm import ann, chat, compression, factorization, katz, langid, mixing, packing, simhash, warc
+from fieldscope.llm import ann, audit, chat, compression, factorization, katz, langid, mixing, packing, simhash, suffixes, warc, whitening
 from fieldscope.llm.common import remainder, stored, table
 from fieldscope.session import scratch_path
 
@@ -69,6 +69,26 @@ def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2, order=2)
 
 
+def op11_repeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.cut_repeats(table(spark, sf_dir, "documents"), least=400)
+    return cut.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op12_filter_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(table(spark, sf_dir, "embeddings"), components=32)
+    return rows.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,6 +108,9 @@ QUERIES = {
         op8_collision_counting,
         op9_prefix_target,
         op10_katz_backoff,
+        op11_repeat_intervals,
+        op12_filter_diagrams,
+        op13_polarisation_whitening,
         pipeline,
     )
 }
@@ -158,4 +181,41 @@ SELECT conv_id, count(*) AS n_turns,
 FROM x GROUP BY conv_id
 """
 
-ORACLES = {"op2_temperature_mixing": _MIXING, "op4_warc_chunks": _WARC, "op9_prefix_target": _CHAT}
+_AUDIT = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+first AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+x AS (
+  SELECT part,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 5 * length(d.text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask,
+    coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d JOIN first ON d.text = first.text LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM x GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o(filter_order, step, f, bit, before) AS (
+  SELECT f, 1, f, bit, 0 FROM f
+  UNION ALL SELECT filter_order || f.f, step + 1, f.f, f.bit, before + o.bit FROM o JOIN f ON NOT contains(filter_order, f.f)),
+s AS (
+  SELECT whole.filter_order, o.step, o.f, o.bit, o.before
+  FROM (SELECT filter_order FROM o WHERE step = 5) whole JOIN o ON starts_with(whole.filter_order, o.filter_order)),
+r AS (
+  SELECT part, filter_order, step, f,
+    CAST(coalesce(sum(n) FILTER ((mask & (before + bit)) = 0), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER ((mask & before) = 0 AND (mask & bit) > 0), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER ((mask & before) > 0 AND (mask & bit) > 0), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER ((mask & before) = 0 AND (mask & bit) > 0), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER ((mask & before) = 0 AND (mask & bit) > 0), 0) AS BIGINT) AS toxic_lost
+  FROM m, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r
+"""
+
+ORACLES = {"op12_filter_diagrams": _AUDIT, "op2_temperature_mixing": _MIXING, "op4_warc_chunks": _WARC, "op9_prefix_target": _CHAT}
