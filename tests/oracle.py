@@ -60,12 +60,12 @@ def compare(df, con, sql: str) -> str | None:
 
 def main(argv):
     sys.path.insert(0, "/root/repo")
-    from fieldscope.plans.registry import load
+    import __spark_entry__ as registered
     from fieldscope.session import local_session
 
     sf = argv[0]
     sf_dir = f"/root/testdata/sf{sf}"
-    queries, oracles = load()
+    queries, oracles = registered.queries(), registered.oracle_sql()
     wanted = [n for n in queries if not argv[1:] or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in argv[1:])]
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
