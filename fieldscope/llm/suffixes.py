@@ -10,13 +10,13 @@ content, in a way that loses no match:
   string stands once is done with: nothing repeats.
 * A slice whose bytes (same hash) occur twice is a repeat as a whole.  Only keys under which different slices
   meet, or that occur twice in one slice, need bytes; these, one copy of each, go to the key's suffix array.
-* There: suffix array and longest common prefixes by prefix doubling, then one stack scan that builds
-  the tree of intervals of common prefixes.  An interval is a maximal repeat if the bytes before its
+* There: suffix array and longest common prefixes, then one stack scan that builds the tree of intervals
+  of common prefixes.  Suffixes all of whose like continue the same byte are left out beforehand.  An interval is a maximal repeat if the bytes before its
   suffixes differ (a slice's start counts as different); its occurrences are all suffixes of the interval,
   not just neighbours.  Each occurrence is reported once, at the deepest maximal repeat it belongs to, with
   that repeat's parent in the tree.
-* A group larger than ``group_bytes`` is dealt out anew by longer strings (k = 320 of 400), and what is
-  still too large by whole windows (k = least), where a key is one string and no group is needed.  No
+* A group larger than ``group_bytes`` is dealt out anew by longer strings (k = 320, then 384 of 400), and what
+  is still too large by whole windows (k = least), where a key is one string and no group is needed.  No
   task ever holds more than a group, and no group is cut or capped.
 
 Slices are compared by 64-bit XXH3 hashes under equal 64-bit keys, texts by 128 bits of SHA-256.
@@ -39,7 +39,7 @@ from fieldscope.llm.common import stored
 
 LEAST = 400
 #: Bytes of different slices that one key's group may hold in a task.
-GROUP_BYTES = 1 << 18
+GROUP_BYTES = 1 << 20
 #: Bytes of groups whose suffixes are sorted at a time.
 _BATCH_BYTES = 1 << 21
 #: Windows of a text looked at together, and in a slice.
@@ -139,71 +139,61 @@ def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 # The suffix array of a batch of slices.
 
+#: Symbols of 9 bits (a byte plus one, 0 past the end) compared at a time.
+_SYMBOLS = 7
 
-def _ranks(contexts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Symbols, end of each position's context, and ranks of the strings of 7, 14, 28, ... symbols (``least`` at most).
 
-    A symbol is a byte plus one, and 0 past the end, so that shorter strings come first.
+def shared_starts(contexts: list[bytes], least: int) -> np.ndarray:
+    """Positions in the joined contexts at which a maximal repeat of ``least`` bytes or more may start.
+
+    Windows of ``least`` bytes are classed by hash; a class stays if it has two members or more and not all have
+    the same byte before them (a context's start has none).  A clash of hashes only keeps more.
     """
-    lengths = np.array([len(c) for c in contexts])
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    symbols = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + 1
-    place = np.arange(len(symbols))
-    word = np.zeros(len(symbols), np.int64)
-    first = min(7, least)
-    for i in range(first):
-        word = word << 9 | np.where(place + i < ends, symbols[np.minimum(place + i, len(symbols) - 1)], 0)
-    levels = [(first, np.unique(word, return_inverse=True)[1].astype(np.int32))]
-    while 2 * levels[-1][0] <= least:
-        h, rank = levels[-1]
-        levels.append((2 * h, np.unique(_pair(rank, place + h, ends), return_inverse=True)[1].astype(np.int32)))
-    return symbols, ends, levels
-
-
-def _pair(rank: np.ndarray, after: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One number a position that orders by its rank, then by the rank at ``after`` (nothing past the end is smallest)."""
-    inside = after < ends
-    return rank.astype(np.int64) << 32 | np.where(inside, rank[np.minimum(after, len(rank) - 1)].astype(np.int64) + 1, 0)
-
-
-def suffix_array(contexts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sa, lcp, symbols): sorted suffixes that share their first ``least`` bytes with another one.
-
-    Positions are those of the joined contexts; suffixes end with their context.  ``lcp[i]`` is
-    the common prefix of suffixes i - 1 and i (0 at the start).
+    lengths = np.array([len(c) for c in contexts], np.int64)
+    whole = b"".join(contexts)
+    if len(whole) < least:
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(np.repeat(np.cumsum(lengths), lengths) - np.arange(len(whole)) >= least)
+    left = np.where(np.isin(at, np.cumsum(lengths) - lengths), MIXED, np.frombuffer(whole, np.uint8)[np.maximum(at - 1, 0)].astype(np.int16))
+    hashes = np.concatenate([_gram_hashes(whole[i : i + _PIECE + least - 1], least) for i in range(0, len(whole) - least + 1, _PIECE)])[at]
+    order = np.argsort(hashes)
+    hashes, left, at = hashes[order], left[order], at[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(at) else np.zeros(0, np.int64)
+    if not len(first):
+        return at
+    size, low, high = np.diff(np.append(first, len(at))), np.minimum.reduceat(left, first), np.maximum.reduceat(left, first)
+    return np.sort(at[np.repeat((size > 1) & ((low == MIXED) | (low != high)), size)])
+
+
+def suffix_array(contexts: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sa, lcp): the suffixes that start ``at`` these positions of the joined contexts, sorted; they end with their context.
+
+    Words of seven symbols are compared, of those suffixes only that are equal so far.  ``lcp[i]`` is the
+    common prefix of suffixes i - 1 and i (0 at the start).
     """
-    symbols, ends, levels = _ranks(contexts, least)
-    width, rank = levels[-1]
-    at = np.flatnonzero(ends - np.arange(len(symbols)) >= least)
-    order = rank[at].astype(np.int64)
-    done = width
-    while done < least:
-        step = min(width, least - done)
-        _, order = np.unique(order << 32 | rank[at + done + step - width], return_inverse=True)
-        done += step
-    at = at[np.bincount(order)[order] > 1] if len(order) else at
-    order, done = rank[at].astype(np.int64), width
-    longest = int((ends[at] - at).max(initial=0))
-    while done < longest:
-        after = at + done
-        tail = np.where(after < ends[at], rank[np.minimum(after, len(rank) - 1)].astype(np.int64) + 1, 0)
-        _, order = np.unique(order << 32 | tail, return_inverse=True)
-        done += width
-    sa = at[np.argsort(order, kind="stable")]
-    lcp = np.zeros(len(sa), np.int64)
-    if len(sa) > 1:
-        a, b = sa[:-1], sa[1:]
-        room, common = np.minimum(ends[a] - a, ends[b] - b), np.zeros(len(a), np.int64)
-        for h, r in (*[levels[-1]] * (longest // width), *levels[-2::-1]):
-            fits = common + h <= room
-            x, y = np.where(fits, a + common, 0), np.where(fits, b + common, 0)
-            common += np.where(fits & (r[x] == r[y]), h, 0)
-        for _ in range(6):
-            fits = common < room
-            x, y = np.where(fits, a + common, 0), np.where(fits, b + common, 0)
-            common += fits & (symbols[x] == symbols[y])
-        lcp[1:] = common
-    return sa, lcp, symbols
+    lengths = np.array([len(c) for c in contexts], np.int64)
+    symbols, starts = np.frombuffer(b"".join(contexts), np.uint8), np.cumsum(lengths)
+    sa, lcp = at.copy(), np.zeros(len(at), np.int64)
+    ends = starts[np.searchsorted(starts, at, "right")] if len(at) else at
+    slots, group, done = np.arange(len(at)), np.zeros(len(at), np.int64), 0
+    while slots.size:
+        place, end, word = sa[slots] + done, ends[slots], np.zeros(len(slots), np.int64)
+        for i in range(_SYMBOLS):
+            word = word << 9 | np.where(place + i < end, symbols[np.minimum(place + i, len(symbols) - 1)].astype(np.int64) + 1, 0)
+        order = np.lexsort((word, group))
+        sa[slots], ends[slots], word = sa[slots][order], end[order], word[order]
+        within = group[1:] == group[:-1]
+        differ = word[1:] ^ word[:-1]
+        common = done + sum((differ >> 9 * i == 0).astype(np.int64) for i in range(1, _SYMBOLS))
+        cut = within & (differ != 0)
+        lcp[slots[1:][cut]] = common[cut]
+        group = np.cumsum(np.append(True, ~within | cut))
+        room = ends[slots] - sa[slots]
+        ended = np.append(False, within & ~cut) & (room < done + _SYMBOLS)
+        lcp[slots[ended]] = room[ended]
+        alive = (np.bincount(group)[group] > 1) & (room >= done + _SYMBOLS)
+        slots, group, done = slots[alive], group[alive], done + _SYMBOLS
+    return sa, lcp
 
 
 MIXED = -1
@@ -257,28 +247,21 @@ def maximal_repeats(contexts: list[bytes], least: int = LEAST) -> list[tuple[int
     An occurrence is listed at the deepest maximal repeat it belongs to.  ``group`` is the signed
     XXH3 hash of the repeated bytes, ``parent`` that of the next shorter repeat above, None at the top.
     """
-    if not contexts:
-        return []
-    sa, lcp, symbols = suffix_array(contexts, least)
+    sa, lcp = suffix_array(contexts, shared_starts(contexts, least))
     if not len(sa):
         return []
+    whole = b"".join(contexts)
     starts = np.cumsum([0, *map(len, contexts)])
     inside = np.searchsorted(starts, sa, "right") - 1
-    left = np.where(sa == starts[inside], MIXED, symbols[np.maximum(sa - 1, 0)])
-    lcp = np.where(lcp >= least, lcp, 0)
-    # Classes of suffixes that share ``least`` bytes; one with a single symbol before all of them holds no maximal repeat.
-    first = np.flatnonzero(lcp == 0)
-    low, high = np.minimum.reduceat(left, first), np.maximum.reduceat(left, first)
-    wanted = np.repeat((low == MIXED) | (low != high), np.diff(np.append(first, len(sa))))
-    sa, inside = sa[wanted], inside[wanted]
-    depth, parent, diverse, leaf = interval_tree(lcp[wanted].tolist(), left[wanted].tolist(), least)
+    left = np.where(sa == starts[inside], MIXED, np.frombuffer(whole, np.uint8)[np.maximum(sa - 1, 0)].astype(np.int16))
+    depth, parent, diverse, leaf = interval_tree(np.where(lcp >= least, lcp, 0).tolist(), left.tolist(), least)
 
     def up(node: int) -> int:
         while node >= 0 and not diverse[node]:
             node = parent[node]
         return node
 
-    whole, names, above, out = b"".join(contexts), {}, {}, []
+    names, above, out = {}, {}, []
     for p, c, node in zip(sa.tolist(), inside.tolist(), leaf):
         node = up(node)
         if node < 0:
@@ -372,7 +355,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     repeats; an empty table gives an empty result; other columns are not read.
     """
     texts = _texts(docs, id_col, text_col)
-    steps = (max(1, least * 4 // 25), max(1, least * 4 // 5), least)
+    steps = (max(1, least * 4 // 25), max(1, least * 4 // 5), max(1, least * 24 // 25), least)
     rows = texts.select("d", F.lit(0).cast("long").alias("start"), "raw", F.lit(1).cast("long").alias("weight"))
     found, out = stored(_slice_table(rows, steps[0], least, False), "windows"), []
     for i, k in enumerate(steps):

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,20 +49,23 @@ def test_suffix_array_and_common_prefixes():
     for trial in range(40):
         contexts = [t.encode() for t in mixed(rng, 6, "ab\0" if trial % 2 else "abcdefgh", 3)]
         least = rng.choice([2, 5, 9, 20])
-        sa, lcp, _ = suffixes.suffix_array(contexts, least)
         whole, ends, at = b"".join(contexts), [], 0
         for c in contexts:
             at += len(c)
             ends += [at] * len(c)
+        places = np.array(sorted(rng.sample(range(len(whole)), len(whole) // 2)), np.int64)
+        sa, lcp = suffixes.suffix_array(contexts, places)
         strings = [whole[p : ends[p]] for p in sa]
-        assert strings == sorted(strings)
+        assert strings == sorted(strings) and sorted(sa) == places.tolist()
         common = [0][: len(sa)] + [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(strings, strings[1:])]
         assert lcp.tolist() == common
         heads = defaultdict(list)
         for p in range(len(whole)):
             if ends[p] - p >= least:
                 heads[whole[p : p + least]].append(p)
-        assert sorted(sa.tolist()) == sorted(p for v in heads.values() if len(v) > 1 for p in v)
+        starts = {sum(map(len, contexts[:i])) for i in range(len(contexts))}
+        diverse = [v for v in heads.values() if len(v) > 1 and (starts & set(v) or len({whole[p - 1] for p in v}) > 1)]
+        assert suffixes.shared_starts(contexts, least).tolist() == sorted(p for v in diverse for p in v)
 
 
 def test_interval_tree_of_a_known_array():
