@@ -6,10 +6,9 @@ content, in a way that loses no match:
 
 * Every window of ``least`` bytes has a key: the smallest hash of the k-byte strings in it.  Equal windows
   have equal keys.  Runs of neighbouring windows with one key are a slice (about 170 windows at k = 64),
-  so a corpus is few slices, not one row a byte.  A key of one slice in which its
-  string stands once is done with: nothing repeats.
-* A slice whose bytes (same hash) occur twice is a repeat as a whole.  Only keys under which different slices
-  meet, or that occur twice in one slice, need bytes; these, one copy of each, go to the key's suffix array.
+  so a corpus is few slices, not one row a byte.  Keys that occur once are done with: nothing repeats.
+* A slice whose bytes (same hash) occur twice is a repeat as a whole, and what stands twice inside one slice is known at
+  once.  Only keys under which different slices meet need their bytes; these, one copy of each, go to the key's suffix array.
 * There: suffix array and longest common prefixes, then one stack scan that builds the tree of intervals
   of common prefixes.  Suffixes all of whose like continue the same byte are left out beforehand.  An interval is a maximal repeat if the bytes before its
   suffixes differ (a slice's start counts as different); its occurrences are all suffixes of the interval,
@@ -47,8 +46,8 @@ _PIECE, _RUN = 1 << 20, 1 << 11
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
-_SLICE = pa.schema([("d", pa.binary()), ("start", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("f", pa.int64()), ("many", pa.bool_()), ("weight", pa.int64()), ("context", pa.binary())])
-_SLICE_DDL = "d binary, start long, n int, key long, f long, many boolean, weight long, context binary"
+_SLICE = pa.schema([("d", pa.binary()), ("start", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("f", pa.int64()), ("weight", pa.int64()), ("context", pa.binary())])
+_SLICE_DDL = "d binary, start long, n int, key long, f long, weight long, context binary"
 _FOUND = pa.schema([("d", pa.binary()), ("start", pa.int64()), ("length", pa.int64()), ("group", pa.int64()), ("parent", pa.int64())])
 _FOUND_DDL = "d binary, start long, length long, group long, parent long"
 
@@ -96,10 +95,11 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def slices(raw: bytes, k: int, least: int = LEAST) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(start, windows, key, hash of the slice's bytes, does the key's string stand there twice) of all runs of windows with one key.
+def slices(raw: bytes, k: int, least: int = LEAST) -> Iterator[tuple[int, int, int | None, int]]:
+    """(start, windows, key, hash of the bytes) of all runs of windows with one key; at k = least a slice is one window.
 
-    At k = least, a slice is one window.
+    Windows that stand earlier in their slice (one sentence over and over) are left out of it; both
+    occurrences come as rows without a key.
     """
     view, longest = memoryview(raw), _RUN if k < least else 1
     for at in range(0, len(raw) - least + 1, _PIECE):
@@ -110,8 +110,32 @@ def slices(raw: bytes, k: int, least: int = LEAST) -> Iterator[tuple[int, int, i
         for s, e, key, low in zip(edges[:-1].tolist(), edges[1:].tolist(), keys[edges[:-1]].view(np.int64).tolist(), keys[edges[:-1]]):
             for start in range(s, e, longest):
                 end = min(e, start + longest)
-                many = np.count_nonzero(grams[start : end + least - k] == low) > 1
-                yield at + start, end - start, key, _signed(xxhash.xxh3_64_intdigest(piece[start : end + least - 1])), many
+                part, fresh = piece[start : end + least - 1], [(0, end - start)]
+                if np.count_nonzero(grams[start : end + least - k] == low) > 1:  # otherwise its windows differ
+                    again, fresh = _inside(part, least)
+                    yield from ((at + start + place, n, None, group) for place, n, group in again)
+                for place, n in fresh:
+                    yield at + start + place, n, key, _signed(xxhash.xxh3_64_intdigest(part[place : place + n + least - 1]))
+
+
+def _inside(part: memoryview, least: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """(start, windows, hash) of both occurrences of what repeats in a slice, and runs (start, windows) of windows that are new."""
+    hashes = _gram_hashes(part, least)
+    order = np.argsort(hashes, kind="stable")
+    back = np.zeros(len(hashes), np.int64)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    back[order[1:][same]] = (order[1:] - order[:-1])[same]
+    edges = np.concatenate([[0], np.flatnonzero(back[1:] != back[:-1]) + 1, [len(back)]]).tolist()
+    again, fresh = [], []
+    for a, b in zip(edges[:-1], edges[1:]):
+        shift = int(back[a])
+        here, before = part[a : b + least - 1], part[a - shift : b - shift + least - 1]
+        if shift and here == before:
+            group = _signed(xxhash.xxh3_64_intdigest(here))
+            again += [(a - shift, b - a, group), (a, b - a, group)]
+        else:
+            fresh.append((a, b - a))
+    return again, fresh
 
 
 def _slice_table(rows: DataFrame, k: int, least: int, carry: bool) -> DataFrame:
@@ -122,8 +146,8 @@ def _slice_table(rows: DataFrame, k: int, least: int, carry: bool) -> DataFrame:
             out: list[tuple] = []
             for d, base, raw, weight in zip(*(batch.column(i) for i in range(4))):
                 raw, base, d, weight = raw.as_py() or b"", base.as_py(), d.as_py(), weight.as_py()
-                for start, n, key, f, many in slices(raw, k, least):
-                    out.append((d, base + start, n, key, f, many, weight, raw[start : start + n + least - 1] if carry else None))
+                for start, n, key, f in slices(raw, k, least):
+                    out.append((d, base + start, n, key, f, weight, raw[start : start + n + least - 1] if carry else None))
                 if len(out) >= 4096:
                     yield _record(out, _SLICE)
                     out = []
@@ -278,8 +302,8 @@ def maximal_repeats(contexts: list[bytes], least: int = LEAST) -> list[tuple[int
 
 def _ranked(found: DataFrame, least: int) -> DataFrame:
     """Slices whose key occurs more than once, with ``c`` (occurrences of their bytes), ``first`` (one row a content) and, of the
-    key, ``kinds`` (contents), ``single`` (contents that occur once), ``inner`` (occurs twice in one) and ``volume`` (bytes of all)."""
-    keys = found.groupBy("key").agg(F.sum("weight").alias("total"), F.max("many").alias("inner")).where("total > 1 OR inner").select("key", "inner")
+    key, ``kinds`` (contents), ``single`` (contents that occur once) and ``volume`` (bytes of all contents)."""
+    keys = found.where("key IS NOT NULL").groupBy("key").agg(F.sum("weight").alias("total")).where("total > 1").select("key")
     shared = stored(found.join(keys, "key").withColumn("h", F.xxhash64("d", "start")), "slices")
     each = shared.groupBy("key", "f").agg(F.sum("weight").alias("c"), F.min("h").alias("least_h"), F.max(F.col("n") + (least - 1)).cast("long").alias("bytes"))
     of_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("c") == 1).alias("single"), F.sum("bytes").alias("volume"))
@@ -359,11 +383,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     rows = texts.select("d", F.lit(0).cast("long").alias("start"), "raw", F.lit(1).cast("long").alias("weight"))
     found, out = stored(_slice_table(rows, steps[0], least, False), "windows"), []
     for i, k in enumerate(steps):
-        ranked = _ranked(found, least).withColumn("length", (F.col("n") + (least - 1)).cast("long"))
-        out.append(ranked.where("c > 1").select("d", "start", "length", F.col("f").alias("group"), F.lit(None).cast("long").alias("parent")))
+        length = (F.col("n") + (least - 1)).cast("long").alias("length")
+        ranked = _ranked(found, least)
+        for whole in (found.where("key IS NULL"), ranked.where("c > 1")):
+            out.append(whole.select("d", "start", length, F.col("f").alias("group"), F.lit(None).cast("long").alias("parent")))
         if k == least:
             break
-        needed = ranked.where("single > 0 AND (kinds > 1 OR inner) AND (c = 1 OR first)")
+        needed = ranked.where("single > 0 AND kinds > 1 AND (c = 1 OR first)").withColumn("length", length)
         if i == 0:
             contexts = _fetch(needed, texts)
         else:

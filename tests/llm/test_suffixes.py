@@ -109,16 +109,18 @@ def test_equal_windows_meet_under_one_key():
     texts = [bytes(rng.choices(b"abcdefgh ", k=rng.randint(0, 300))) + passage + bytes(rng.choices(b"abc", k=50)) for _ in range(4)] + [b"a" * 500, b"ab" * 200]
     keys = defaultdict(set)
     for raw in texts:
-        at = 0
-        for start, n, key, *_ in suffixes.slices(raw, 8, 40):
-            assert start == at
-            at += n
+        seen = defaultdict(list)
+        for start, n, key, _ in suffixes.slices(raw, 8, 40):
             for p in range(start, start + n):
-                keys[raw[p : p + 40]].add(key)
-        assert at == len(raw) - 39
+                seen[key is None].append(p)
+                if key is not None:
+                    keys[raw[p : p + 40]].add(key)
+        assert set(seen[False]) | set(seen[True]) == set(range(len(raw) - 39)) and len(seen[False]) == len(set(seen[False]))
+        for p in set(seen[True]):
+            assert raw.find(raw[p : p + 40]) != p or raw.find(raw[p : p + 40], p + 1) > 0
     assert all(len(v) == 1 for v in keys.values())
-    assert [r[4] for r in suffixes.slices(b"a" * 500, 8, 40)] == [True]
-    assert not any(r[4] for r in suffixes.slices(passage, 8, 40))
+    assert [(r[0], r[1], r[2] is None) for r in suffixes.slices(b"a" * 500, 8, 40)] == [(0, 460, True), (1, 460, True), (0, 1, False)]
+    assert all(r[2] is not None for r in suffixes.slices(passage, 8, 40))
 
 
 @pytest.mark.parametrize("group_bytes", [1 << 18, 2000, 0])
