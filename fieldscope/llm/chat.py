@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, BETWEEN, CLOSE = "### ", ": ", "</turn>\n"
+#: Letters that stand, after a backslash, for characters of a role; the backslash is written first and read last.
+ROLE_CODES = {"\\": "b", ":": "c", "#": "h", "<": "l"}
 
 
 def escape(text: Column) -> Column:
@@ -28,12 +30,16 @@ def unescape(text: Column) -> Column:
 
 
 def _role_in(role: Column) -> Column:
-    """Roles additionally lose the colon that ends them in the template, and line breaks stay."""
-    return F.replace(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit(":"), F.lit("\\c")), F.lit("#"), F.lit("\\h"))
+    """Roles lose the colon that ends them in the template, and what could be a mark of it; line breaks stay."""
+    for plain, code in ROLE_CODES.items():
+        role = F.replace(role, F.lit(plain), F.lit("\\" + code))
+    return role
 
 
 def _role_out(role: Column) -> Column:
-    return F.replace(F.replace(F.replace(role, F.lit("\\c"), F.lit(":")), F.lit("\\h"), F.lit("#")), F.lit("\\b"), F.lit("\\"))
+    for plain, code in reversed(ROLE_CODES.items()):
+        role = F.replace(role, F.lit("\\" + code), F.lit(plain))
+    return role
 
 
 def expand(turns: DataFrame, keep_tail: bool = True, trainable: str = "assistant") -> DataFrame:

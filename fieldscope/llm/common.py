@@ -25,6 +25,14 @@ def as_bytes(text: Column) -> Column:
     return text.cast("binary")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(raw: bytes | None, lower: bool = False) -> list[bytes]:
     """Maximal runs of bytes outside space and 0x09-0x0D; ``lower`` maps A-Z only."""
     if raw is None:

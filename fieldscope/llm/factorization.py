@@ -126,16 +126,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     """Machine from at most ``sample_rows`` labelled documents with ``learn`` true.
 
     The sample is drawn by the hash of the id among all labelled rows that have a document; the
-    texts in it are used whole.  A document's several labels are averaged, null labels are none.
-    One task fits the machine, so only its parameters reach the driver.  Without any labelled
+    texts in it are used whole.  An id has one place in it: of rows that repeat one, that whose text has the
+    smallest hash counts, so the sample is bounded in rows, too.  A document's several labels are averaged, null labels
+    are none.  Columns other than id, text and metadata play no part, whatever their names.  One task fits the machine, so only its parameters reach the driver.  Without any labelled
     document every score is 0.5.
     """
-    marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("__y"))
-    ids = docs.where(learn).select(F.col(id_col).alias("doc_id")).distinct()
-    sample = marks.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).withColumnRenamed("doc_id", "__id")
+    marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("y"))
+    own = docs.where(learn).select(F.col(id_col).alias("doc_id"), as_bytes(F.col(text_col)).alias("raw"), stated(docs, meta_col).alias("chars"))
+    sample = marks.join(own.select("doc_id").distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # At most sample_rows ids and numbers.
-    drawn = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id"))
-    stated = _stated(docs, meta_col)
+    drawn = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("raw").alias("h"), "raw", "chars")).alias("row"))
     arrow = pa.schema([("id", pa.string()), ("y", pa.float64()), ("slots", pa.binary()), ("values", pa.binary())])
 
     def extract(parts):
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         out = [(machine.bias, machine.linear.astype(np.float32).tobytes(), machine.factors.astype(np.float32).tobytes())]
         yield from batches(out, pa.schema([("bias", pa.float64()), ("linear", pa.binary()), ("factors", pa.binary())]))
 
-    rows = drawn.select(F.col("__id").cast("string"), "__y", as_bytes(F.col(text_col)), stated).mapInArrow(extract, "id string, y double, slots binary, values binary")
+    rows = drawn.select(F.col("doc_id").cast("string"), "y", "row.raw", "row.chars").mapInArrow(extract, "id string, y double, slots binary, values binary")
     row = rows.repartition(1).mapInArrow(solve, "bias double, linear binary, factors binary").first()
     return Machine(row["bias"], np.frombuffer(row["linear"], np.float32), np.frombuffer(row["factors"], np.float32).reshape(SLOTS, -1))
 
@@ -169,10 +169,10 @@ def score_of(spark: SparkSession, machine: Machine, group: int = 64):
     @F.arrow_udf("double")
     def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = shared.value
-        for texts, stated in columns:
+        for texts, lengths in columns:
             out = []
             for at in range(0, len(texts), group):
-                made = [features(_raw(t), n) for t, n in zip(texts[at : at + group], stated[at : at + group].to_pylist())]
+                made = [features(_raw(t), n) for t, n in zip(texts[at : at + group], lengths[at : at + group].to_pylist())]
                 sizes = np.array([len(m[0]) for m in made])
                 logit, _ = model.logits(np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made]), np.cumsum(sizes) - sizes)
                 out.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
@@ -185,10 +185,11 @@ def _raw(cell: pa.Scalar) -> bytes:
     return (cell.as_py() or "").encode("utf-8", "replace")
 
 
-def _stated(docs: DataFrame, meta_col: str | None) -> Column:
+def stated(docs: DataFrame, meta_col: str | None) -> Column:
+    """A document's stated length; unknown (null) where the column is absent."""
     return F.col(meta_col).cast("long") if meta_col and meta_col in docs.columns else F.lit(None).cast("long")
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", meta_col: str | None = "n_chars") -> DataFrame:
     """id, score: one row per input row.  Null text counts as empty, null or absent metadata as unknown."""
-    return docs.select(F.col(id_col), score_of(docs.sparkSession, machine)(F.col(text_col), _stated(docs, meta_col)).alias("score"))
+    return docs.select(F.col(id_col), score_of(docs.sparkSession, machine)(F.col(text_col), stated(docs, meta_col)).alias("score"))

@@ -55,6 +55,16 @@ def _get(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(_OPEN.decompress(raw), kind)
 
 
+def _put_counts(a: np.ndarray) -> bytes:
+    """Counts of any size: four bytes each, or eight where one needs them."""
+    width = 4 if int(a.max(initial=0)) < 1 << 32 else 8
+    return bytes([width]) + _put(a.astype(f"<u{width}"))
+
+
+def _get_counts(raw: bytes) -> np.ndarray:
+    return _get(raw[1:], f"<u{raw[0]}").astype(np.int64)
+
+
 def _put_words(keys: np.ndarray) -> bytes:
     """The low seven bytes of word hashes; within one context that tells words apart."""
     return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
@@ -190,15 +200,15 @@ class Chunk:
     # Order 1
 
     def ask_words(self) -> list[tuple]:
-        counts = np.bincount(self.tokens[self.learns], minlength=len(self.vocab)).astype(np.uint32)
+        counts = np.bincount(self.tokens[self.learns], minlength=len(self.vocab))
         order, cuts = self._dealt(place(self.vocab, self.places))
-        return [(b, self.number, b"", b"", b"", self.vocab[order[i:j]].tobytes(), _put(counts[order[i:j]]), b"") for b, i, j in cuts]
+        return [(b, self.number, b"", b"", b"", self.vocab[order[i:j]].tobytes(), _put_counts(counts[order[i:j]]), b"") for b, i, j in cuts]
 
     def hear_words(self, answers: dict[int, dict], model: Discounts) -> None:
         order, cuts = self._dealt(place(self.vocab, self.places))
         totals = np.empty(len(self.vocab), np.int64)
         for b, i, j in cuts:
-            totals[order[i:j]] = _get(answers[b]["totals"], np.uint32)
+            totals[order[i:j]] = _get_counts(answers[b]["totals"])
         free = float((np.arange(1, CUTOFF + 1) * model.low * (1 - model.factor[1:])).sum())
         if free > 0:
             seen, unseen = model.of(totals) * totals / max(1, model.total), free / max(1, model.total)
@@ -257,7 +267,7 @@ class Chunk:
 
     def ask_pairs(self) -> list[tuple]:
         return [
-            (b, self.number, self.entries[e].tobytes(), _put(n.astype(np.uint32)), np.packbits(self.wanted[e]).tobytes(), _put_words(self.pair_word[p]), _put(self.pair_local[p]), _put_floats(self.pair_lower[p]))
+            (b, self.number, self.entries[e].tobytes(), _put(n.astype(np.uint32)), np.packbits(self.wanted[e]).tobytes(), _put_words(self.pair_word[p]), _put_counts(self.pair_local[p]), _put_floats(self.pair_lower[p]))
             for b, e, n, p in self.plan
         ]
 
@@ -267,11 +277,11 @@ class Chunk:
         low, mass = np.zeros((n, CUTOFF)), np.zeros(n)
         for b, e, _, p in self.plan:
             a = answers[b]
-            totals[p] = _get(a["totals"], np.uint32)
+            totals[p] = _get_counts(a["totals"])
             owner = self.entry_owner[e]
             np.logical_or.at(any_low, owner, np.unpackbits(np.frombuffer(a["any_low"], np.uint8), count=len(e)).astype(bool))
             asked = owner[self.wanted[e]]
-            np.add.at(low, asked, _get(a["low_counts"], np.uint32).reshape(-1, CUTOFF))
+            np.add.at(low, asked, _get_counts(a["low_counts"]).reshape(-1, CUTOFF))
             np.add.at(mass, asked, np.frombuffer(a["low_mass"], np.float64))
         size = self.context_counts.astype(np.float64)
         free = (low * (np.arange(1, CUTOFF + 1) * (1 - model.factor[1:]))).sum(axis=1)
@@ -302,7 +312,7 @@ def answer(level: int):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
         keys = [np.frombuffer(r["keys"], np.uint64) if level == 1 else _get_words(r["keys"]) for r in rows]
-        counts = np.concatenate([_get(r["counts"], np.uint32) for r in rows])
+        counts = np.concatenate([_get_counts(r["counts"]) for r in rows])
         bounds = np.cumsum([0] + [len(k) for k in keys])
         keys = np.concatenate(keys)
         if level > 1:
@@ -313,22 +323,23 @@ def answer(level: int):
             owner = np.repeat(context_of, sizes)
             keys = mix(contexts[owner], keys)
         found, first, number = np.unique(keys, return_index=True, return_inverse=True)
-        totals = np.bincount(number, counts, len(found)).astype(np.int64)
+        totals = np.zeros(len(found), np.int64)
+        np.add.at(totals, number, counts)
         out = []
         if level > 1:
             lower = np.concatenate([_get_floats(r["lower"]) for r in rows])
             seen = totals > 0
             own, mass = owner[first], np.bincount(owner[first][seen], lower[first][seen], len(contexts))
-            low = np.stack([np.bincount(own[totals == r], minlength=len(contexts)) for r in range(1, CUTOFF + 1)], axis=1).astype(np.uint32)
+            low = np.stack([np.bincount(own[totals == r], minlength=len(contexts)) for r in range(1, CUTOFF + 1)], axis=1)
             any_low = low.any(axis=1)
         for i, r in enumerate(rows):
-            reply = _put(totals[number[bounds[i] : bounds[i + 1]]].astype(np.uint32))
+            reply = _put_counts(totals[number[bounds[i] : bounds[i + 1]]])
             if level == 1:
                 out.append((level, r["chunk"], r["bucket"], reply, b"", b"", b""))
             else:
                 mine = context_of[spans[i] : spans[i + 1]]
                 asked = mine[np.unpackbits(np.frombuffer(r["wanted"], np.uint8), count=len(mine)).astype(bool)]
-                out.append((level, r["chunk"], r["bucket"], reply, np.packbits(any_low[mine]).tobytes(), _put(low[asked]), mass[asked].tobytes()))
+                out.append((level, r["chunk"], r["bucket"], reply, np.packbits(any_low[mine]).tobytes(), _put_counts(low[asked]), mass[asked].tobytes()))
         of_counts = [int((totals == r).sum()) for r in range(1, CUTOFF + 2)]
         summary = np.array([int(totals.sum()), int((totals > 0).sum()), *of_counts], np.int64)
         out.append((level, -1, rows[0]["bucket"], summary.tobytes(), b"", b"", b""))
@@ -369,8 +380,14 @@ def katz_scores(
     count and are scored as often as they come; null ids are carried along; other columns play no
     part.  Without training text every token has probability one.  Empty in, empty out.
     """
-    spark = docs.sparkSession
     chunks, name = chunk_table(docs, id_col, text_col, held.alias("held"), chunk_tokens)
+    try:
+        return _scores(chunks, docs, held, id_col, order, place_tokens, split)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _scores(chunks: DataFrame, docs: DataFrame, held: Column, id_col: str, order: int, place_tokens: int, split: int) -> DataFrame:
     id_kind = dict(chunks.dtypes)["ids"][6:-1]
     whole = chunks.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
     places = max(1, -(-whole // place_tokens))
@@ -421,6 +438,4 @@ def katz_scores(
             pa.array(np.full(len(chunk.sizes), models[0].total)), pa.array(add(base)), pa.array(add(np.log10(chunk.p))),
         ], schema=schema)
 
-    out = stored(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, result), "scores")
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    return stored(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, result), "scores")

@@ -170,7 +170,7 @@ WITH all_turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS size,
-  length(replace(replace(replace(role, '\', '\b'), ':', '\c'), '#', '\h')) + 4 + 2 + 8
+  length(replace(replace(replace(replace(role, '\', '\b'), ':', '\c'), '#', '\h'), '<', '\l')) + 4 + 2 + 8
   + length(replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>')) AS chars FROM all_turns),
 x AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM n)
 SELECT conv_id, count(*) AS n_turns,

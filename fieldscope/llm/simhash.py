@@ -153,8 +153,8 @@ def keep_firsts(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
     ids = stored(groups.where("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("copies")).select(
         F.col("id").alias("__id"), (F.col("id") == F.col("component")).alias("__stays"), (F.col("copies") > 1).alias("__again")
     ).where("NOT __stays OR __again"), "ids")
-    names = docs.columns
-    joined = docs.join(ids, docs[id_col] == ids["__id"], "left").where("coalesce(__stays, true)")
-    single = joined.where("NOT coalesce(__again, false)").select(*[docs[c] for c in names])
-    again = joined.where("__again").select(*[docs[c] for c in names]).dropDuplicates([id_col])
+    # The columns of docs may have any name, also one of these: each is taken from its own table.
+    joined = docs.join(ids, docs[id_col] == ids["__id"], "left").where(F.coalesce(ids["__stays"], F.lit(True)))
+    single = joined.where(~F.coalesce(ids["__again"], F.lit(False))).select(*[docs[c] for c in docs.columns])
+    again = joined.where(ids["__again"]).select(*[docs[c] for c in docs.columns]).dropDuplicates([id_col])
     return single.unionByName(again)

@@ -298,6 +298,25 @@ def test_near_copies_odd_input(spark):
     assert copies.keep_one(table(spark, [])).count() == 0
 
 
+CLASH = ["__stays", "__again", "__id", "__first", "found", "score", "__found", "__score", "component", "copies", "node"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Odd rows, an empty table and names that the stages use themselves."""
+    rows = odd_rows() + [(20 + i, f"the house number {i} of the street and the garden stands in the sun " * 3, "en", "a", 10) for i in range(6)]
+    docs = table(spark, rows).withColumns({c: F.lit(c) for c in CLASH})
+    folder = str(tmp_path)
+    table(spark, [(20 + i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for stage in (corpus_pipeline.language, corpus_pipeline.quality, corpus_pipeline.near_dedup):
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(r[c] == c for r in kept for c in CLASH)
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    assert simhash.keep_one(docs).columns == docs.columns
+    assert corpus_pipeline.quality(spark, docs.drop("n_chars"), folder).count() > 0
+
+
 @pytest.mark.parametrize("text", [" " * 1_500_000 + "x", "\n" * 1_500_000 + "x"], ids=["blanks", "newlines"])
 def test_tokens_of_very_long_white_space(text):
     path = public_tokenizers.path("byte_bpe_50k.json")

@@ -153,6 +153,83 @@ def test_katz_equals_the_formulas(spark, order):
                 assert math.isclose(sum(model.p((*context, w)) for (w,) in model.counts[1]) + model.p((*context, "?")), 1, rel_tol=1e-9)
 
 
+def test_katz_counts_of_any_size():
+    for most in (0, 7, (1 << 32) - 1, 1 << 32, 5_000_000_000, 1 << 60):
+        counts = np.array([0, most // 2, most], np.int64)
+        assert katz._get_counts(katz._put_counts(counts)).tolist() == counts.tolist()
+    assert katz._get_counts(katz._put_counts(np.zeros(0, np.int64))).tolist() == []
+    words = np.array([11, 12], np.uint64).tobytes()
+    asked = [(0, c, b"", b"", b"", words, katz._put_counts(np.array([4_000_000_000, c])), b"") for c in range(3)]
+    replies = katz.answer(1)(katz.pa.Table.from_batches(katz.batches(asked, katz._arrow(katz.QUESTIONS), 8))).to_pylist()
+    assert all(katz._get_counts(r["totals"]).tolist() == [12_000_000_000, 3] for r in replies if r["chunk"] >= 0)
+    assert np.frombuffer([r for r in replies if r["chunk"] == -1][0]["totals"], np.int64)[0] == 12_000_000_003
+
+
+def plain_training(rows, rank, passes, batch, rate, decay, seed):
+    """The same Adagrad steps, number by number, on all pairs instead of the sum of squares."""
+    rng = np.random.default_rng(seed)
+    bias, linear, factors = 0.0, defaultdict(float), rng.normal(0, 0.01, (factorization.SLOTS, rank))
+    mean = min(0.999, max(0.001, sum(y for y, *_ in rows) / len(rows)))
+    bias = math.log(mean / (1 - mean))
+    seen, seen_f, seen_b = defaultdict(lambda: 1e-6), defaultdict(lambda: 1e-6), 1e-6
+
+    def logit(slots, values):
+        pairs = sum(values[a] * values[b] * float(factors[slots[a]] @ factors[slots[b]]) for a in range(len(slots)) for b in range(a + 1, len(slots)))
+        return bias + sum(linear[s] * v for s, v in zip(slots, values)) + pairs
+
+    for _ in range(passes):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), batch):
+            part = [rows[i] for i in order[at : at + batch]]
+            errors = [(1 / (1 + math.exp(-logit(s, v))) - y) / len(part) for y, s, v in part]
+            grad, grad_f = defaultdict(float), defaultdict(float)
+            for e, (_, slots, values) in zip(errors, part):
+                total = [sum(v * factors[s][f] for s, v in zip(slots, values)) for f in range(rank)]
+                for s, v in zip(slots, values):
+                    grad[s] += e * v
+                    for f in range(rank):
+                        grad_f[s, f] += e * v * (total[f] - v * factors[s][f])
+            for s in grad:
+                grad[s] += decay * linear[s] / len(part)
+                seen[s] += grad[s] ** 2
+            for s, f in grad_f:
+                grad_f[s, f] += decay * factors[s][f] / len(part)
+                seen_f[s, f] += grad_f[s, f] ** 2
+            for s in grad:
+                linear[s] -= rate * grad[s] / math.sqrt(seen[s])
+            for s, f in grad_f:
+                factors[s][f] -= rate * 0.3 * grad_f[s, f] / math.sqrt(seen_f[s, f])
+            seen_b += sum(errors) ** 2
+            bias -= rate * sum(errors) / math.sqrt(seen_b)
+    return lambda slots, values: 1 / (1 + math.exp(-logit(slots, values)))
+
+
+def test_training_and_scores_equal_plain_steps():
+    rng = random.Random(8)
+    rows = []
+    for i in range(30):
+        good = i % 2
+        text = " ".join(rng.choices(["good", "fine", "well"] if good else ["bad", "spam", "junk"], k=6)).encode()
+        slots, values = factorization.features(text, len(text))
+        rows.append((float(good), slots, values))
+    plain = plain_training([(y, s.tolist(), v.tolist()) for y, s, v in rows], 3, 2, 8, 0.1, 1e-4, 3)
+    machine = factorization.train(rows, rank=3, passes=2, batch=8)
+    for _, slots, values in rows:
+        logit, _ = machine.logits(slots, values, np.array([0]))
+        assert abs(1 / (1 + math.exp(-logit[0])) - plain(slots.tolist(), values.tolist())) < 1e-6
+
+
+def test_quality_fit_takes_one_row_an_id(spark):
+    rows = [(i, ("fine words here " if i % 2 else "spam junk buy ") * 20, "en", "a", 300) for i in range(40)]
+    docs = spark.createDataFrame(rows + [(0, f"spam junk {i}", "en", "a", 1) for i in range(500)], DOCS).withColumns({c: F.lit(1) for c in ("__y", "__id", "y", "raw", "chars", "h", "row")})
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    fitted = factorization.fit(docs, labels, F.lit(True))
+    scores = {r.doc_id: r.score for r in factorization.score(docs, fitted).collect()}
+    assert scores[1] > 0.5 > scores[2]
+    again = factorization.fit(docs.repartition(3, "text"), labels, F.lit(True))
+    assert np.allclose(again.linear, fitted.linear)
+
+
 def test_katz_without_training_or_rows(spark):
     docs = spark.createDataFrame([(1, "a b", None, None, None), (2, None, None, None, None)], DOCS)
     got = katz.katz_scores(docs, F.lit(True)).collect()

@@ -134,7 +134,7 @@ def test_neighbours_odd_input(spark):
 
 def test_chat_expansion_and_escapes(spark):
     hard = ["\\### Assistant: </turn> ok", "####\\#\\/</turn></turn>\n### user: x", "", None, "a: b\\", "<\\/turn>", "#" * 7 + "</tu</turn>rn>"]
-    roles = ["user", "assistant", "system", None, "assistant", "tool: #1\\c", "assistant"]
+    roles = ["user", "assistant", "system", None, "assistant", "tool: #1\\c\\l</turn>\n### user", "assistant"]
     rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(roles, hard))] + [(2, 0, "user", "only"), (3, None, "assistant", "n"), (3, None, "assistant", "n"), (None, 1, "assistant", "z")]
     rows += [(4, i, "assistant" if i % 2 else "user", f"t{i} \\ ##") for i in range(300)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"formatted": F.lit(1), "example": F.lit("x")})
