@@ -124,3 +124,26 @@ def range_text(df: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b") -
     )
     d = df.select(*keys, a, b).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(a, b))).alias("_r"))
     return d.select(*keys, F.concat(F.lit("["), F.array_join(F.transform("_r", one), ","), F.lit("]")).alias("layout"))
+
+
+def _level(a: Column, b: Column) -> Column:
+    """Smallest l with 4^l >= b - a + 1."""
+    n = (b - a).cast("long")
+    return F.ceil(F.when(n > 0, F.length(F.bin(n))).otherwise(0) / F.lit(2)).cast("int")
+
+
+def stab_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """Every pair of a point (keys, ``at``, ...) and a range (keys, a, b, ...) that holds it.
+
+    A range of length up to 4^l lies in one or two bins of that size and is a row in each; a point
+    looks into its bin of every size that its key has.  So this is one equi-join on key, size and bin
+    with an exact test after it: a key with many ranges or points is spread over its bins, and no list of ranges
+    is built.  A key has at most 16 sizes.  Points and ranges with null keys or ends, and empty ranges, meet nothing.
+    """
+    keys = list(keys)
+    r = ranges.where(F.col("a") <= F.col("b")).withColumn("_lv", _level(F.col("a"), F.col("b")))
+    shift = lambda c: F.expr(f"shiftright(CAST({c} AS BIGINT), 2 * _lv)")
+    sizes = r.groupBy(*keys).agg(F.collect_set("_lv").alias("_sizes"))
+    r = r.withColumn("_bin", F.explode(F.array_distinct(F.array(shift("a"), shift("b")))))
+    p = points.join(sizes, keys).withColumn("_lv", F.explode("_sizes")).drop("_sizes").withColumn("_bin", shift(at))
+    return p.join(r, [*keys, "_lv", "_bin"]).where(F.col(at).between(F.col("a"), F.col("b"))).drop("_lv", "_bin")

@@ -170,6 +170,41 @@ def value_hex(value: Column, width_bits: Column) -> Column:
     return F.lpad(raw, F.greatest(digits, F.length(raw)), "0")
 
 
+def number_hex(text: Column) -> Column:
+    """``[-]digits``: a signed number text (0x hex of any length, or decimal up to 64 bits) as lower-case hex; null if it is none."""
+
+    def read(t):
+        body = F.regexp_replace(t, "^[+-]", "")
+        decimal = F.when(body.rlike(r"^\d{1,20}$") & (body.try_cast("decimal(20,0)") < F.lit(Decimal(2**64))), F.lower(F.conv(body, 10, 16)))
+        digits = F.when(body.rlike("^0x[0-9a-f]+$"), F.substring(body, 3, 1 << 30)).otherwise(decimal)
+        return bind(F.regexp_replace(digits, "^0+(?=.)", ""), lambda d: F.when(t.startswith("-") & (d != "0"), F.concat(F.lit("-"), d)).otherwise(d))
+
+    return bind(F.lower(F.trim(text)), read)
+
+
+def fixed_hex(number: Column, width_bits: Column) -> Column:
+    """The low ``width_bits`` of a ``number_hex``, two's complement, as fixed-width hex digits; any width."""
+    digits = F.greatest(F.ceil(width_bits / F.lit(4)), F.lit(1)).cast("int")
+
+    def cut(n):
+        low = bind(F.regexp_replace(n, "^-", ""), lambda body: F.substring(F.lpad(body, F.greatest(digits, F.length(body)), "0"), -digits, digits))
+        turn = lambda v: F.when(n.startswith("-"), bind(F.translate(v, "0123456789abcdef", "fedcba9876543210"), lambda f: _bump(f, True))).otherwise(v)
+        return bind(bind(low, turn), lambda v: mask_hex(v, width_bits))
+
+    return bind(number, cut)
+
+
+def hex_bits(digits: Column) -> Column:
+    """Numbers of the set bits of hex digits, lowest first; any width."""
+
+    def read(h):
+        value = lambda k: F.conv(F.substring(h, F.length(h) - k, F.lit(1)), 16, 10).cast("int")
+        four = lambda k: bind(value(k), lambda v: F.filter(F.sequence(k * 4, k * 4 + 3), lambda i: shift_right(v, F.pmod(i, F.lit(4))).bitwiseAND(1) == 1))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.length(h) - 1), four))
+
+    return bind(digits, read)
+
+
 def _bump(high: Column, up: bool) -> Column:
     """High hex part plus or minus one, modulo its width."""
     fill, edge = ("0", "f") if up else ("f", "0")

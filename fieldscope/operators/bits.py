@@ -4,6 +4,10 @@ Events are one row per use of a field's bits.  They may also come from a tracer
 that knows bit provenance (kind ``mov_derived``); every rule below only reads
 the event table.  After grouping by bit set the tables hold one row per distinct
 set of a field, and after ``split_runs`` at most width*(width+1)/2 rows per field.
+
+Spans carry where they come from: ``sources`` names the bit sets that went into a span, united
+when spans merge and kept when they are split or shrunk.  Constraints and evidence lines are not dragged
+through these steps; ``span_events`` joins them to the final spans by source.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fieldscope.functions.ordered import line_block, next_row
 from fieldscope.functions.text import hex_value, index_plain, operand_pairs, runs_of
-from fieldscope.functions.units import bind, shift_left, shift_right, span_label
+from fieldscope.functions.units import bind, fixed_hex, hex_bits, number_hex, shift_left, shift_right, span_label
 from fieldscope.operators.trace import after_first_taint, branch_outcome
 
 # Fixed event kinds.
@@ -35,21 +39,20 @@ def resolve_field(trace: DataFrame, fields: DataFrame) -> DataFrame:
     ``fields``: run_id, field_id, a, b.  A token equal to exactly one field id
     wins; else the token spans must name exactly one field.
     """
-    names = (
-        fields.select("run_id", F.struct("field_id", "a", "b").alias("_f")).distinct()
-        .groupBy("run_id").agg(F.collect_list("_f").alias("_fields"))
-    )
+    named = fields.select("run_id", "field_id", "a", "b").distinct()
     tokens = F.filter(F.transform(F.split(F.coalesce("idx_raw", F.lit("")), ";"), lambda x: F.trim(x)), lambda t: (t != "") & (t != "-"))
     numbers = lambda t: F.array_sort(index_plain(t))
     tight = lambda n: (F.size(n) > 0) & (F.array_max(n) - F.array_min(n) + 1 == F.size(n))
-    spans = F.filter(F.transform("_tokens", numbers), tight)
-    # The field list of a run is bounded by its payload length.
-    d = trace.join(names, "run_id").withColumn("_tokens", tokens).withColumn("_spans", spans)
-    exact = F.filter("_fields", lambda f: F.array_contains("_tokens", f["field_id"]))
-    near = F.filter("_fields", lambda f: F.exists("_spans", lambda n: (F.array_min(n) == f["a"]) & (F.array_max(n) == f["b"])))
-    only = lambda found: bind(found, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))
-    d = d.withColumn("_h", F.coalesce(only(exact), only(near))).where(F.col("_h").isNotNull())
-    return d.select(
+    # Equal index texts of a run name the same field: each text is looked up once.
+    texts = trace.select("run_id", "idx_raw").distinct().withColumn("_tokens", tokens)
+    exact = texts.withColumn("field_id", F.explode("_tokens")).join(named, ["run_id", "field_id"]).withColumn("_far", F.lit(0))
+    spans = texts.select("run_id", "idx_raw", F.explode(F.filter(F.transform("_tokens", numbers), tight)).alias("_s"))
+    near = spans.select("run_id", "idx_raw", F.array_min("_s").alias("a"), F.array_max("_s").alias("b")).join(named, ["run_id", "a", "b"]).withColumn("_far", F.lit(1))
+    cols = ["run_id", "idx_raw", "_far", "field_id", "a", "b"]
+    met = exact.select(*cols).unionByName(near.select(*cols)).distinct()
+    sole = met.groupBy("run_id", "idx_raw", "_far").agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct("field_id", "a", "b")).alias("_h")).where("_n = 1")
+    found = sole.groupBy("run_id", "idx_raw").agg(F.min_by("_h", "_far").alias("_h"))
+    return trace.join(found, ["run_id", "idx_raw"]).select(
         *trace.columns, F.col("_h.field_id").alias("field_id"), ((F.col("_h.b") - F.col("_h.a") + 1) * 8).alias("width")
     )
 
@@ -69,7 +72,7 @@ def _as_bits(value: Column) -> Column:
 
 
 def mask_bits(mask: Column, width: Column) -> Column:
-    """Set bits of a mask below ``width`` (masks have at most 64 bits)."""
+    """Set bits of a 64-bit mask below ``width``."""
     return F.filter(
         F.sequence(F.lit(0), F.least(width, F.lit(64)) - 1), lambda i: shift_right(mask, i).bitwiseAND(1) == 1
     )
@@ -92,11 +95,14 @@ def bit_use_events(events: DataFrame, fields: DataFrame, compat_branch: bool = F
     left, right = F.get("ops", F.lit(0)), F.get("ops", F.lit(1))
     runtime = F.get(F.filter(operand_pairs(F.col("info_raw")), lambda p: ~p["tainted"]), F.lit(0))["value"]
     runtime = _as_bits(runtime)
+    # Masks of fields wider than 64 bits are read from the text, whatever their length.
+    clean = F.regexp_extract(F.coalesce("info_raw", F.lit("")), r"(?:^|[;\t])\s*[A-Za-z0-9_]+\s*=\s*(-?(?:0x[0-9a-fA-F]+|\d+))\s*(?:[;\t]|$)", 1)
+    d = d.withColumn("wide_mask", F.when(F.col("width") > 64, F.coalesce(number_hex(right), number_hex(clean))))
     d = d.withColumn("imm", _immediate(right)).withColumn("known", F.coalesce("imm", runtime))
     m = F.col("mnemonic")
     logic, shift = m.isin("and", "or", "xor"), m.isin(SHIFTS)
     kind = (
-        F.when(logic & F.col("known").isNotNull() & ~((m == "xor") & (F.lower(left) == F.lower(right))), m)
+        F.when(logic & (F.col("known").isNotNull() | F.col("wide_mask").isNotNull()) & ~((m == "xor") & (F.lower(left) == F.lower(right))), m)
         .when(shift & (F.col("imm").isNotNull() | ~right.contains("[")), m)
         .when((m == "test") & F.col("imm").isNotNull(), "test_mask")
         .when(m == "test", "test_reg")
@@ -106,7 +112,8 @@ def bit_use_events(events: DataFrame, fields: DataFrame, compat_branch: bool = F
     full = F.sequence(F.lit(0), F.col("width") - 1)
     d = d.select(
         "run_id", "field_id", "width", "line_no", "addr", "disasm", kind.alias("event_kind"),
-        F.when(mask.isNotNull(), mask_bits(mask, F.col("width"))).otherwise(full).alias("bits"),
+        F.when((logic | (m == "test")) & F.col("wide_mask").isNotNull(), hex_bits(fixed_hex(F.col("wide_mask"), F.col("width"))))
+        .when(mask.isNotNull(), mask_bits(mask, F.col("width"))).otherwise(full).alias("bits"),
         mask.alias("mask"), F.when(shift, F.col("imm")).alias("shift"),
         F.when(m == "cmp", F.col("known")).alias("compare_value"),
         (shift & F.col("imm").isNull()).alias("variable_shift"), "next",
@@ -170,13 +177,18 @@ def bit_constraint(bits: Column, op: Column, value: Column, explicit_mask: Colum
     own_text = F.when(hi <= 62, F.lower(F.hex(summed))).otherwise(F.regexp_replace(bits_mask_hex(bits), "^0+(?=.)", ""))
     mask_text = own_text if explicit_mask is None else F.coalesce(F.lower(F.hex(explicit_mask)), own_text)
     fits = (value >= 0) & ((size >= 63) | (value < shift_left(F.lit(1).cast("long"), size)))
-    inner = F.when(~tight | fits, value).otherwise(shift_right(value.bitwiseAND(mask_long), lo))
+    # Beyond bit 62 the masked value is a set of bits.
+    held = F.array_intersect(hex_bits(fixed_hex(number_hex(value.cast("string")), hi + 1)), F.array_sort(bits))
+    digits = lambda some: bind(some, lambda b: F.when(F.size(b) == 0, "0").otherwise(F.regexp_replace(bits_mask_hex(b), "^0+(?=.)", "")))
+    wide = bind(digits(F.transform(held, lambda b: b - lo)), lambda h: F.when(F.length(h) <= 16, F.conv(h, 16, 10)).otherwise(F.concat(F.lit("0x"), h)))
+    inner = F.when(~tight | fits, value.cast("string")).when(hi <= 62, shift_right(value.bitwiseAND(mask_long), lo).cast("string")).otherwise(wide)
+    masked = F.when(hi <= 62, F.lower(F.hex(value.bitwiseAND(mask_long)))).otherwise(digits(held))
     name = bits_name(bits)
     plain_span = tight & (F.lit(True) if explicit_mask is None else (explicit_mask.isNull() | (explicit_mask == own_long)))
     eq = (
-        F.when(size == 1, F.concat(name, F.lit(" == "), inner.bitwiseAND(1).cast("string")))
-        .when(plain_span, F.concat(name, F.lit(" == "), inner.cast("string")))
-        .otherwise(F.concat(name, F.lit(" == 0x"), F.lower(F.hex(value.bitwiseAND(mask_long)))))
+        F.when(size == 1, F.concat(name, F.lit(" == "), F.when(F.substring(inner, -1, 1).isin(*"13579"), "1").otherwise("0")))
+        .when(plain_span, F.concat(name, F.lit(" == "), inner))
+        .otherwise(F.concat(name, F.lit(" == 0x"), masked))
     )
     nonzero = F.when(size == 1, F.concat(name, F.lit(" == 1"))).otherwise(F.concat(name, F.lit(" != 0")))
     sub = F.when(op == "zero", F.concat(name, F.lit(" == 0"))).when(op == "nonzero", nonzero).when(op == "eq", eq)
@@ -278,7 +290,12 @@ def subfield_candidates(events: DataFrame, decision: DataFrame, mode: str = "ful
     )
 
 
-_SPAN = ["lo", "hi", "shape", "confidence", "kinds", "constraints"]
+_SPAN = ["lo", "hi", "shape", "confidence", "kinds", "constraints", "sources"]
+
+
+def source_name(bits: Column) -> Column:
+    """Name of a bit set in ``sources``."""
+    return F.array_join(bits.cast("array<string>"), ",")
 
 
 def split_runs(candidates: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -291,10 +308,17 @@ def split_runs(candidates: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
         F.when(~F.col("_split"), F.col("shape")).when(one, "flag").otherwise("enum_or_small_int").alias("shape"),
         F.when(F.col("_split"), F.greatest(F.lit(0.55), F.col("confidence") - 0.05)).otherwise(F.col("confidence")).alias("confidence"),
         F.when(F.col("_split"), F.concat("kinds", F.array(F.lit("split_noncontiguous")))).otherwise(F.col("kinds")).alias("kinds"),
-        "constraints",
+        "constraints", F.array(source_name(F.col("bits"))).alias("sources"), F.struct(F.size("bits").alias("n"), "bits").alias("ord"),
     )
 
 
+def _first_of_kinds(d: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of equal spans with equal kinds, that of the smallest source set; the others add nothing."""
+    facts = ["shape", "confidence", "constraints", "sources"]
+    g = d.groupBy(*keys, "lo", "hi", F.array_sort("kinds").alias("kinds")).agg(F.min(F.struct("ord", *facts)).alias("_f"))
+    return g.select(*keys, "lo", "hi", "kinds", "_f.*")
+
+
 def _spans_per_field(d: DataFrame, keys: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
     """All spans of a field as one array.
 
@@ -306,10 +330,7 @@ def _spans_per_field(d: DataFrame, keys: Sequence[str], more: Sequence[str] = ()
 
 def shrink_derived(d: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Reduce shift-derived wide spans to their lowest bit when direct spans cover two or more of their bits."""
-    small = d.groupBy(*keys, "lo", "hi", "kinds").agg(
-        F.min("shape").alias("shape"), F.max("confidence").alias("confidence"), F.max("constraints").alias("constraints")
-    )
-    s = _spans_per_field(small, keys)
+    s = _spans_per_field(_first_of_kinds(d, keys), keys, ["ord"])
     direct = F.array_distinct(F.flatten(F.transform(
         F.filter("_spans", lambda x: ~F.array_contains(x["kinds"], "mov_derived")), lambda x: F.sequence(x["lo"], x["hi"])
     )))
@@ -318,20 +339,22 @@ def shrink_derived(d: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     inside = F.size(F.array_intersect(F.sequence("lo", "hi"), "_direct"))
     s = s.withColumn("_hit", (F.col("hi") > F.col("lo")) & derived & (inside >= 2))
     pick = lambda c, new: F.when(F.col("_hit"), new).otherwise(F.col(c)).alias(c)
-    return s.select(
+    shrunk = s.select(
         *keys, "lo", pick("hi", F.col("lo")), pick("shape", F.lit("flag")),
         pick("confidence", F.least(F.lit(0.99), F.greatest("confidence", F.lit(0.72)))),
-        pick("kinds", F.concat("kinds", F.array(F.lit("boundary_shrink")))), "constraints",
+        pick("kinds", F.concat("kinds", F.array(F.lit("boundary_shrink")))), "constraints", "sources", "ord",
     )
+    return _first_of_kinds(shrunk, keys)
 
 
 def merge_candidates(d: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Merge equal spans: union of kinds, highest confidence (at most 0.99)."""
+    """Merge equal spans: union of kinds and sources, highest confidence (at most 0.99)."""
     return d.groupBy(*keys, "lo", "hi").agg(
         F.min("shape").alias("shape"),
         F.least(F.lit(0.99), F.max("confidence")).alias("confidence"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"),
         F.max("constraints").alias("constraints"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"),
     )
 
 
@@ -388,7 +411,7 @@ def resolve_nested(d: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
         F.when(~cut, F.col("shape")).when(F.col("_p.lo") == F.col("_p.hi"), "flag").otherwise("bit_range").alias("shape"),
         F.when(cut, F.greatest(F.lit(0.50), F.col("confidence") - 0.08)).otherwise(F.col("confidence")).alias("confidence"),
         F.when(cut, F.concat("kinds", F.array(F.lit("coverage_split")))).otherwise(F.col("kinds")).alias("kinds"),
-        "constraints",
+        "constraints", "sources",
     )
     return merge_candidates(p, keys)
 
@@ -420,6 +443,41 @@ def recover_bitfields(events: DataFrame, mode: str = "full", keys: Sequence[str]
     return d.drop("is_bitfield", "bit_scan").withColumn("label", span_label(F.col("lo"), F.col("hi")))
 
 
+def span_events(subfields: DataFrame, events: DataFrame, mode: str = "full", keys: Sequence[str] = KEY) -> DataFrame:
+    """One row per final span and event it rests on: keys, lo, hi, label, source, line_no, event_kind, constraint."""
+    used = events_for_mode(events, mode).where(F.size("bits") < F.col("width"))
+    used = used.select(*keys, source_name(F.col("bits")).alias("source"), "line_no", "event_kind", "constraint")
+    spans = subfields.select(*keys, "lo", "hi", "label", F.explode("sources").alias("source"))
+    return spans.join(used, [*keys, "source"])
+
+
+CONSTRAINT = ["mask", "operator", "value", "subfield_constraint", "expression"]
+
+
+def span_constraints(spans: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """Distinct constraints of every span of ``span_events`` with the lines that state them.
+
+    A constraint that reaches a span from two bit sets is listed once for each, as their lines differ.
+    ``trace_lines`` is as long as the constraint's uses in the run; ``span_events`` has the same in rows.
+    """
+    stated = spans.where(F.col("constraint").isNotNull())
+    return stated.groupBy(*keys, "lo", "hi", "label", "source", *[F.col(f"constraint.{c}").alias(c) for c in CONSTRAINT]).agg(
+        F.array_sort(F.collect_set("line_no")).alias("trace_lines")
+    )
+
+
+def bitfields_table(subfields: DataFrame, events: DataFrame, mode: str = "full", keys: Sequence[str] = KEY) -> DataFrame:
+    """Final sub-fields with their constraints, in the order of the constraint texts; a span may have none."""
+    keys = list(keys)
+    rows = span_constraints(span_events(subfields, events, mode, keys), keys)
+    order = F.struct(F.coalesce("subfield_constraint", F.lit("")).alias("_t"), *CONSTRAINT, "trace_lines")
+    lists = rows.groupBy(*keys, "lo", "hi").agg(F.array_sort(F.collect_list(order)).alias("_c"))
+    shape = lambda c: F.struct(*[c[n].alias(n) for n in [*CONSTRAINT, "trace_lines"]])
+    d = subfields.join(lists.select(*keys, "lo", "hi", F.transform("_c", shape).alias("_listed")), [*keys, "lo", "hi"], "left")
+    empty = F.array().cast(d.schema["_listed"].dataType)
+    return d.select(*keys, "width", "lo", "hi", "label", F.coalesce("_listed", empty).alias("constraints"))
+
+
 def bit_layout(subfields: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Layout text per field, highest bits first; a field has at most ``width`` spans."""
     order = F.struct((-F.col("hi")).alias("h"), (F.col("lo") - F.col("hi")).alias("s"), F.col("label"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldscope.functions.intervals import stab_join
 from fieldscope.functions.ordered import line_block, number_rows
 from fieldscope.functions.ranks import quantiles, value_ranks
 from fieldscope.functions.text import finite, index_plain, ratio
@@ -91,14 +92,13 @@ def wide_groups(summary: DataFrame, keys: Sequence[str], group: str) -> DataFram
 def baseline_ops(events: DataFrame, fields: DataFrame) -> DataFrame:
     """Instructions, compares and useful operations that touch each field of a baseline run.
 
-    Counts are taken over the whole given log; the field list of a run travels
-    to its instructions, so nothing is exploded by byte.
+    Counts are taken over the whole given log.  An instruction's few bytes meet the fields in one
+    binned join, so neither a run's fields nor its instructions are gathered.
     """
-    lists = fields.select("run_id", F.struct("a", "b").alias("_f")).distinct().groupBy("run_id").agg(F.collect_list("_f").alias("_fields"))
     inst = events.where((F.col("kind") == "Instruction") & F.col("idx_raw").isNotNull())
-    d = inst.select("run_id", "mnemonic", index_plain(F.col("idx_raw")).alias("_i")).join(lists, "run_id")
-    hit = lambda f: F.exists("_i", lambda x: (x >= f["a"]) & (x <= f["b"]))
-    d = d.select("run_id", "mnemonic", F.inline(F.filter("_fields", hit)))
+    points = inst.select("run_id", "line_no", "mnemonic", F.explode(F.array_distinct(index_plain(F.col("idx_raw")))).alias("_i"))
+    met = stab_join(points, fields.select("run_id", "a", "b").distinct(), ["run_id"], "_i")
+    d = met.select("run_id", "line_no", "mnemonic", "a", "b").distinct()
     counts = d.groupBy("run_id", "a", "b").agg(
         F.count(F.lit(1)).alias("instr"), F.count_if(F.col("mnemonic").isin("cmp", "test")).alias("compare"),
         F.count_if(F.col("mnemonic").isin(USEFUL)).alias("useful"),

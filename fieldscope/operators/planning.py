@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldscope.functions.intervals import stab_join
 from fieldscope.functions.ordered import line_block, next_row, number_rows, top_k
 from fieldscope.functions.text import hex_value, immediates, index_expanded, untainted_values
-from fieldscope.functions.units import hex_add, mask_value, max_hex, value_hex, write_bits, write_bytes
+from fieldscope.functions.units import fixed_hex, hex_add, max_hex, number_hex, power_of_two, write_bits, write_bytes
 from fieldscope.operators.matrix import hash_order
 from fieldscope.operators.trace import after_first_taint
 
@@ -22,39 +23,23 @@ MOVE = ["mov", "movzx", "movsx", "movsxd", "cmovz", "cmovnz", "cmove", "cmovne",
 FIELD = ["run_id", "a", "b"]
 
 
-def _field_lists(fields: DataFrame) -> DataFrame:
-    """Field ranges per run as one array; bounded by the payload length."""
-    return fields.select(*FIELD).distinct().groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_fields"))
-
-
-def evidence_owner(idx: Column, fields: Column) -> Column:
-    """struct<a, b> of the field with most bytes in ``idx``, then wider, then lower; null without overlap."""
-    scored = F.transform(
-        fields,
-        lambda f: F.struct(
-            F.size(F.filter(idx, lambda i: (i >= f["a"]) & (i <= f["b"]))).alias("overlap"),
-            (f["b"] - f["a"]).alias("span"), (-f["a"]).alias("na"), (-f["b"]).alias("nb"),
-        ),
-    )
-    best = F.array_max(scored)
-    return F.when(best["overlap"] > 0, F.struct((-best["na"]).alias("a"), (-best["nb"]).alias("b")))
-
-
 def touched(events: DataFrame, fields: DataFrame, owned: bool = True, extra: Sequence[str] = ()) -> DataFrame:
     """Instructions with the field they belong to (or with every field they overlap).
 
-    The run's field list travels to the instructions, which keeps this a plain
-    join on the run without exploding instructions by byte.
+    The owner is the field with most of the instruction's bytes, then the wider, then the lower
+    one.  Bytes meet fields in one binned join; an instruction has few bytes.
     """
     live = after_first_taint(events).where((F.col("kind") == "Instruction") & F.col("disasm").isNotNull())
     d = live.select("run_id", "line_no", "addr", "disasm", "mnemonic", "info_raw", index_expanded(F.col("idx_raw")).alias("idx"), *extra)
-    d = d.where(F.size("idx") > 0).join(_field_lists(fields), "run_id")
+    d = d.where(F.size("idx") > 0)
+    bytes_ = d.select("run_id", "line_no", F.explode("idx").alias("_i"))
+    met = stab_join(bytes_, fields.select(*FIELD).distinct(), ["run_id"], "_i")
+    hits = met.groupBy("run_id", "line_no", "a", "b").agg(F.count(F.lit(1)).alias("_n"))
     if owned:
-        d = d.withColumn("_o", evidence_owner(F.col("idx"), F.col("_fields"))).where(F.col("_o").isNotNull())
-    else:
-        hits = lambda f: F.exists("idx", lambda i: (i >= f["a"]) & (i <= f["b"]))
-        d = d.withColumn("_o", F.explode(F.filter("_fields", hits)))
-    return d.select("*", "_o.a", "_o.b").drop("_o", "_fields", "idx")
+        rank = F.struct("_n", (F.col("b") - F.col("a")).alias("s"), (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))
+        best = hits.groupBy("run_id", "line_no").agg(F.max(rank).alias("_o"))
+        hits = best.select("run_id", "line_no", (-F.col("_o.na")).alias("a"), (-F.col("_o.nb")).alias("b"))
+    return d.drop("idx").join(hits.select("run_id", "line_no", "a", "b"), ["run_id", "line_no"])
 
 
 def is_zero_test(disasm: Column) -> Column:
@@ -79,8 +64,8 @@ def compare_evidence(events: DataFrame, fields: DataFrame, owned: bool = True) -
     widths = fields.select(*FIELD, (F.col("width_bits") if "width_bits" in fields.columns else (F.col("b") - F.col("a") + 1) * 8).alias("width_bits")).distinct()
     d = d.join(widths, FIELD)
     literal = immediates(F.regexp_extract("disasm", r"^\S+ (.*)$", 1))
-    limit = F.when(F.col("width_bits") >= 64, F.lit(None)).otherwise(mask_value(F.lit(-1), F.col("width_bits")))
-    runtime = F.filter(untainted_values(F.col("info_raw")), lambda v: limit.isNull() | (v <= limit))
+    limit = F.when(F.col("width_bits") < 64, power_of_two(F.col("width_bits")))
+    runtime = F.filter(untainted_values(F.col("info_raw")), lambda v: limit.isNull() | (v < limit))
     zero = is_zero_test(F.col("disasm"))
     values = (
         F.when(zero, F.when(F.coalesce("zero_jump", F.lit(False)), F.array(F.lit(0).cast("decimal(20,0)"))))
@@ -88,14 +73,28 @@ def compare_evidence(events: DataFrame, fields: DataFrame, owned: bool = True) -
         .when(F.col("mnemonic") == "cmp", runtime)
     )
     rows = d.select(*FIELD, "width_bits", "line_no", "addr", "disasm", F.posexplode(values).alias("pos", "raw"))
+    # Negative constants are extended to the field's own width.
     return (
-        rows.withColumn("value", mask_value(F.col("raw"), F.col("width_bits")))
-        .groupBy(*FIELD, "width_bits", "value")
+        rows.withColumn("value_hex", fixed_hex(number_hex(F.col("raw").cast("string")), F.col("width_bits")))
+        .groupBy(*FIELD, "width_bits", "value_hex")
         .agg(F.min_by(F.struct("line_no", "pos", "raw", "addr", "disasm"), F.struct("line_no", "pos")).alias("_f"))
-        .select(*FIELD, "width_bits", "value", "_f.*")
+        .select(*FIELD, "width_bits", "value_hex", narrow_value(F.col("value_hex")).alias("value"), "_f.*")
     )
 
 
+def narrow_value(digits: Column) -> Column:
+    """Number of hex digits; null if it needs more than 64 bits."""
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.when(F.length(short) <= 16, F.conv(short, 16, 10).cast("decimal(20,0)"))
+
+
+def _hex_gap(lo: Column, hi: Column) -> Column:
+    """hi - lo of fixed-width hex digits; above 64 bits an estimate that is at least 2^63."""
+    low = lambda h: F.conv(F.substring(h, -16, 16), 16, 10).cast("decimal(20,0)")
+    head = lambda h: F.substring(h, F.lit(1), F.greatest(F.length(h) - 16, F.lit(0)))
+    return F.when(head(lo) == head(hi), (low(hi) - low(lo)).cast("double")).otherwise(F.lit(2.0**64))
+
+
 def instruction_mix(events: DataFrame, fields: DataFrame, owned: bool = True) -> DataFrame:
     m = F.col("mnemonic")
     return touched(events, fields, owned).groupBy(*FIELD).agg(
@@ -111,19 +110,21 @@ def constraint_profile(fields: DataFrame, evidence: DataFrame, keys: Sequence[st
     ``evidence`` has one row per (field, value), so plain counts are distinct counts.
     """
     low_bits = F.length(F.replace(F.conv(F.col("value").cast("string"), 10, 2), F.lit("0"), F.lit("")))
+    # Digits of one width order like their values.
     g = evidence.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
+        F.count(F.lit(1)).alias("n"), F.min("value_hex").alias("lo"), F.max("value_hex").alias("hi"),
         F.count_if((F.col("value") > 0) & (low_bits <= 2)).alias("_sparse"),
     )
     d = fields.select(*keys, "width_bits").distinct().join(g, list(keys), "left")
     count = F.coalesce("n", F.lit(0))
-    density = F.when(count > 0, count / (F.col("hi") - F.col("lo") + 1).cast("double")).otherwise(0.0)
+    density = F.when(count > 0, count / (_hex_gap(F.col("lo"), F.col("hi")) + 1)).otherwise(0.0)
     ranged = (count >= 4) & (density >= 0.6)
     return d.select(
         *keys, "width_bits",
         F.when(ranged, "range").when(count > 0, "enum").otherwise("fallback").alias("mode"),
         count.alias("evidence_count"), density.alias("density"),
-        F.when(ranged, F.col("lo")).alias("range_lo"), F.when(ranged, F.col("hi")).alias("range_hi"),
+        F.when(ranged, narrow_value(F.col("lo"))).alias("range_lo"), F.when(ranged, narrow_value(F.col("hi"))).alias("range_hi"),
+        F.when(ranged, F.col("lo")).alias("range_lo_hex"), F.when(ranged, F.col("hi")).alias("range_hi_hex"),
         ((count > 0) & (F.col("_sparse") / F.greatest(count, F.lit(1)) >= 0.5) & (F.col("width_bits") <= 32)).alias("bitmask_detected"),
     )
 
@@ -178,9 +179,9 @@ def first_evidence(evidence: DataFrame, k: int, keys: Sequence[str] = FIELD) ->
     inferred range comes from the full profile, not from this list.
     """
     n = k + 2
-    top = top_k(evidence, keys, [F.col("line_no"), F.col("pos")], ["value"], n, "_n")
+    top = top_k(evidence, keys, [F.col("line_no"), F.col("pos")], ["value_hex"], n, "_n")
     return top.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_n", value_hex(F.col("value"), F.col("width_bits")).alias("v")))), lambda x: x["v"]).alias("evidence")
+        F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col("value_hex").alias("v")))), lambda x: x["v"]).alias("evidence")
     )
 
 
@@ -197,7 +198,7 @@ def grouped_candidates(fields: DataFrame, profile: DataFrame, evidence: DataFram
     steps = int(fields.agg(F.max(k)).first()[0] or 1) if isinstance(k, str) else int(k)
     d = (
         fields.join(first_evidence(evidence, steps, keys), keys, "left")
-        .join(profile.select(*keys, "range_lo", "range_hi"), keys, "left")
+        .join(profile.select(*keys, "range_lo_hex", "range_hi_hex"), keys, "left")
         .withColumn("_k", F.greatest(limit, F.lit(1)))
         .withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
     )
@@ -208,9 +209,9 @@ def grouped_candidates(fields: DataFrame, profile: DataFrame, evidence: DataFram
     top = max_hex(w)
     around = F.flatten(F.transform(ev, lambda v: F.array(near(v, "constraint_minus_1", -1), item("constraint", v), near(v, "constraint_plus_1", 1))))
     neighborhood = F.concat(F.array(near(base, "base_minus_1", -1), near(base, "base_plus_1", 1)), around)
-    lo, hi = value_hex(F.col("range_lo"), w), value_hex(F.col("range_hi"), w)
+    lo, hi = F.col("range_lo_hex"), F.col("range_hi_hex")
     edges = F.when(
-        F.col("range_lo").isNotNull(),
+        lo.isNotNull(),
         F.array(
             near(lo, "range_l_minus_1", -1), item("range_l", lo), near(lo, "range_l_plus_1", 1),
             near(hi, "range_u_minus_1", -1), item("range_u", hi), near(hi, "range_u_plus_1", 1),
@@ -271,15 +272,18 @@ def invalid_mutations(m: DataFrame) -> DataFrame:
 
 
 def bit_constraint_values(unit_constraints: Column, width: Column) -> Column:
-    """Evidence values of a bit unit's constraints (array<struct<operator,value,subfield_constraint,expression>>)."""
+    """Evidence values of a bit unit's constraints (array<struct<operator,value,subfield_constraint,expression>>).
+
+    The value behind ``==``, else the stated hex value, else 0 or 1 for zero and nonzero; fixed-width hex of
+    the unit's width, each value once, in the order of the constraints.
+    """
 
     def one(c):
         text = F.coalesce(F.nullif(c["subfield_constraint"], F.lit("")), c["expression"])
-        token = F.lower(F.regexp_extract(text, r"==\s*(\S+)", 1))
-        stated = F.when(token.startswith("0x"), hex_value(token)).otherwise(token.try_cast("decimal(20,0)"))
-        op = F.lower(c["operator"])
-        fallback = F.when(op == "zero", 0).when(op == "nonzero", 1).cast("decimal(20,0)")
-        return mask_value(F.coalesce(stated, hex_value(c["value"]), fallback), width)
+        stated = number_hex(F.regexp_extract(text, r"==\s*(\S+)", 1))
+        op, value = F.lower(c["operator"]), F.lower(F.trim(c["value"]))
+        hexed = F.when(value.rlike("^-?(0x)?[0-9a-f]+$"), number_hex(F.regexp_replace(value, "^(-?)(0x)?", "$10x")))
+        return fixed_hex(F.coalesce(stated, hexed, F.when(op == "zero", "0").when(op == "nonzero", "1")), width)
 
     return F.array_distinct(F.filter(F.transform(unit_constraints, one), lambda v: v.isNotNull()))
 
@@ -294,8 +298,7 @@ def dedupe_payloads(m: DataFrame, keys: Sequence[str], order: str, name: str) ->
 def next_round(evidence: DataFrame, base_evidence: DataFrame, tried: DataFrame, fields: DataFrame, keys: Sequence[str] = FIELD) -> DataFrame:
     """Constants seen in mutation traces but not in the baseline and not tried yet."""
     keys = list(keys)
-    fresh = evidence.join(base_evidence.select(*keys, "value"), [*keys, "value"], "left_anti")
-    fresh = fresh.withColumn("value_hex", value_hex(F.col("value"), F.col("width_bits")))
+    fresh = evidence.join(base_evidence.select(*keys, "value_hex"), [*keys, "value_hex"], "left_anti")
     fresh = fresh.join(tried.select(*keys, "value_hex").distinct(), [*keys, "value_hex"], "left_anti")
     return fresh.join(fields.select(*keys, "base_hex"), keys).where(F.col("value_hex") != F.col("base_hex"))
 

@@ -197,18 +197,21 @@ def merge_bitfields(byte_fields: DataFrame, bit_fields: DataFrame, keys: list[st
     """Replace byte fields by their recovered bit sub-fields.
 
     ``bit_fields``: keys, repr of the parent, bits array<int> (empty sets are ignored
-    but still replace the parent).
+    but still replace the parent), and optionally the constraints of each sub-field, which
+    its unit keeps (byte fields have none).
     """
+    carried = [c for c in ("constraints",) if c in bit_fields.columns]
     parents = bit_fields.select(*keys, F.col("parent_repr").alias("repr")).distinct()
     plain = byte_fields.join(parents, [*keys, "repr"], "left_anti").select(
         *keys, F.lit("byte").alias("kind"), "a", "b", "repr", F.lit(None).cast("string").alias("parent_repr"),
         F.lit(None).cast("array<int>").alias("bits"), ((F.col("b") - F.col("a") + 1) * 8).alias("width_bits"),
+        *[F.array().cast(bit_fields.schema[c].dataType).alias(c) for c in carried],
     )
-    subs = bit_fields.where(F.size("bits") > 0).select(*keys, F.col("parent_repr").alias("repr"), "bits")
+    subs = bit_fields.where(F.size("bits") > 0).select(*keys, F.col("parent_repr").alias("repr"), "bits", *carried)
     bit = byte_fields.join(subs, [*keys, "repr"]).select(
         *keys, F.lit("bit").alias("kind"), "a", "b", bit_repr(F.col("repr"), F.col("bits")).alias("repr"),
         F.col("repr").alias("parent_repr"), F.array_sort(F.array_distinct("bits")).alias("bits"),
-        F.size(F.array_distinct("bits")).alias("width_bits"),
+        F.size(F.array_distinct("bits")).alias("width_bits"), *carried,
     )
     return plain.unionByName(bit)
 

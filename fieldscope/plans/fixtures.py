@@ -27,6 +27,28 @@ _LINE = """
          CASE WHEN k % 5 = 0 THEN chr(9) || 'LOOP' ELSE '' END
   END"""
 
+# A second trace in which every rule on bits, tests and typed moves has lines that it fires on.
+_LINE2 = """
+  'THREADID' || chr(9) || '1' || chr(9) ||
+  CASE WHEN event_type = 'signup' AND k < 40 THEN 'Taint' || chr(9) || 'srv+0x' || CAST(k AS STRING) || chr(9) || '16'
+       WHEN event_type = 'signup' THEN 'BasicBlock' || chr(9) || 'srv+0x' || CAST(k % 20 AS STRING) || chr(9) || 'size=8'
+       ELSE 'Instruction' || chr(9) || 'srv+0x' || CAST(k AS STRING) || ': ' ||
+         CASE event_type
+           WHEN 'view' THEN CASE k % 4
+             WHEN 0 THEN 'test al, ' || CASE CAST(floor(k / 8) AS INT) % 4 WHEN 0 THEN '0xf' WHEN 1 THEN '0xf0' WHEN 2 THEN '0x40' ELSE '0xfe' END
+             WHEN 1 THEN 'test al, al' WHEN 2 THEN 'or al, 0x30' ELSE 'xor al, 0x5' END
+           WHEN 'click' THEN CASE k % 3 WHEN 0 THEN 'cmp al, 0x' || CAST(k % 10 AS STRING) WHEN 1 THEN 'cmp al, bl' ELSE 'cmp al, -1' END
+           WHEN 'error' THEN CASE k % 4
+             WHEN 0 THEN 'and al, 0x' || CAST(10 + k % 80 AS STRING) WHEN 1 THEN 'shl al, 0x2' WHEN 2 THEN 'shr al, cl' ELSE 'movss xmm0, dword ptr [rbp+0x8]' END
+           WHEN 'purchase' THEN CASE k % 4 WHEN 0 THEN 'jz' WHEN 1 THEN 'jnz' WHEN 2 THEN 'js' ELSE 'jns' END || ' 0x' || CAST(k AS STRING)
+           ELSE 'mov eax, dword ptr [rbp+0x8]' END || chr(9) ||
+         CASE WHEN event_type = 'purchase' THEN '-'
+              ELSE CASE k % 7 WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '2,3' WHEN 3 THEN '4' WHEN 4 THEN '5,6' WHEN 5 THEN '7' ELSE '8,9' END END ||
+         CASE WHEN event_type = 'click' AND k % 3 = 1 THEN chr(9) || 'DST*=0x' || CAST(k AS STRING) || ';SRC=0x' || CAST(k % 10 AS STRING) ELSE '' END ||
+         CASE WHEN event_type = 'purchase' AND CAST(floor(k / 4) AS INT) % 2 = 0 THEN chr(9) || 'TAKEN'
+              WHEN event_type = 'purchase' THEN chr(9) || 'NOT_TAKEN' ELSE '' END
+  END"""
+
 _RANGE = """
 SELECT protocol, sample_id, start_b, end_b, 40 AS payload_len, pred_keep, end_b + CAST(l_suppkey % 2 AS INT) AS pred_end_b FROM (
   SELECT l_returnflag AS protocol, l_orderkey AS sample_id, l_suppkey,
@@ -94,8 +116,8 @@ _SOURCES = {
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame."""
-    if name == "fx_trace":
-        return _trace(spark, sf_dir)
+    if name in ("fx_trace", "fx_trace2"):
+        return _trace(spark, sf_dir, _LINE if name == "fx_trace" else _LINE2)
     sources = {t: table(spark, sf_dir, t) for t in _SOURCES[name]}
     text = _sql(name, 0)
     for t in sources:
@@ -107,22 +129,26 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **sources)
 
 
-def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _trace(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     e = (
         table(spark, sf_dir, "events").withColumn("k", F.expr(_K))
-        .select(F.col("user_id").alias("run_id"), "event_id", "ts", F.expr(_LINE).alias("line"))
+        .select(F.col("user_id").alias("run_id"), "event_id", "ts", F.expr(text).alias("line"))
     )
     minute = F.expr("unix_date(CAST(ts AS DATE)) * 1440 + hour(ts) * 60 + minute(ts)").cast("long")
     numbered = number_rows(e, ["run_id"], [F.col("ts"), F.col("event_id")], minute, "line_no")
     return numbered.select("run_id", F.col("line_no").cast("int"), "line")
 
 
-_TRACE_SQL = f"""
-SELECT run_id, line_no, {_LINE} AS line FROM (
+def _trace_sql(text: str) -> str:
+    return f"""
+SELECT run_id, line_no, {text} AS line FROM (
   SELECT user_id AS run_id, event_id, event_type, {_K} AS k,
          CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS line_no
   FROM events) e"""
 
+
+_TRACE_SQL = _trace_sql(_LINE)
+
 # Parsed form of fx_trace for the oracles, written independently of the operators.
 _PARSED_SQL = """
 SELECT *, CASE WHEN kind = 'Instruction' THEN lower(split_part(disasm, ' ', 1)) END AS mnemonic
@@ -144,8 +170,8 @@ SELECT p.* FROM parsed p JOIN (SELECT run_id, min(line_no) AS t0 FROM parsed WHE
   ON p.run_id = t.run_id AND p.line_no > t.t0"""
 
 
-def oracle(body: str, *views: str) -> str:
-    """Oracle SQL: the named views as common table expressions, then ``body``.
+def oracle(body: str, *views: str, second: bool = False) -> str:
+    """Oracle SQL: the named views as common table expressions, then ``body``; ``second`` reads the second trace.
 
     ``body`` either starts with SELECT or continues the WITH list by ``, name AS``.
     """
@@ -158,6 +184,8 @@ def oracle(body: str, *views: str) -> str:
         if v not in order:
             order.append(v)
     text = {"fx_trace": _TRACE_SQL, "parsed": _PARSED_SQL, "after_taint": _AFTER_SQL}
+    if second:
+        text["fx_trace"] = _trace_sql(_LINE2)
     ctes = ",\n".join(f"{v} AS ({text[v] if v in text else _sql(v, 1)})" for v in order)
     body = body.strip()
     if body.startswith(","):

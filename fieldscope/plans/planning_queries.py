@@ -32,7 +32,7 @@ def compare_evidence(spark, sf):
 
 def constraint_profile(spark, sf):
     _, f, ev = _parts(spark, sf)
-    return P.constraint_profile(f, ev).withColumn("density", F.round("density", 6)).withColumn(
+    return P.constraint_profile(f, ev).drop("range_lo_hex", "range_hi_hex").withColumn("density", F.round("density", 6)).withColumn(
         "range_lo", F.col("range_lo").cast("long")
     ).withColumn("range_hi", F.col("range_hi").cast("long"))
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["trace_queries", "diff_queries", "field_queries", "planning_queries", "feature_queries", "truth_queries", "source_queries"]
+MODULES = ["trace_queries", "diff_queries", "field_queries", "bit_queries", "planning_queries", "feature_queries", "truth_queries", "source_queries"]
 
 
 def load() -> tuple[dict, dict]:

@@ -12,16 +12,16 @@ from fieldscope.session import scratch_path
 _TABLES: dict[tuple[str, str], tuple[str, StructType]] = {}
 
 
-def events(spark, sf):
+def events(spark, sf, name="fx_trace"):
     """The parsed trace table of a data set.
 
     Traces are parsed once per application and kept as parquet in the shared
     scratch folder; every later question prunes columns and pushes its filters
     into that table.
     """
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, f"{sf}/{name}")
     if key not in _TABLES:
-        parsed = T.parse_trace(view(spark, sf, "fx_trace"))
+        parsed = T.parse_trace(view(spark, sf, name))
         path = scratch_path(spark, "trace-events")
         parsed.sortWithinPartitions("run_id", "line_no").write.parquet(path)
         _TABLES[key] = (path, parsed.schema)
