@@ -9,6 +9,7 @@ from fieldscope.session import scratch_path
 from fieldscope.sources import dissection as X
 from fieldscope.sources import files as S
 from fieldscope.streaming import live as N
+from fieldscope.streaming import stateful as W
 
 K = ["protocol_name", "sample_id", "field_id"]
 
@@ -137,6 +138,14 @@ def stream_run_features(spark, sf):
     return last.groupBy(F.col("run_id").cast("long").alias("run_id")).agg(*[F.sum(c).alias(c) for c in names])
 
 
+def stream_after_taint(spark, sf):
+    """Lines behind the first mark; files come one by one, so a run's mark and its lines are in different batches."""
+    out = scratch_path(spark, "stream")
+    d = W.stream_after_taint(N.stream_trace(spark, _trace_files(spark, sf), 2))
+    N.run_to_parquet(d.select(F.col("run_id").cast("long").alias("run_id"), "line_no", "kind", "mnemonic"), out + "/rows", out + "/checkpoint")
+    return spark.read.schema("run_id long, line_no int, kind string, mnemonic string").parquet(out + "/rows")
+
+
 def stream_dedupe(spark, sf):
     path, out = scratch_path(spark, "payloads"), scratch_path(spark, "stream")
     view(spark, sf, "fx_payload").select("a", "b", "payload_hex").write.parquet(path)
@@ -150,7 +159,7 @@ def stream_early_stop(spark, sf):
     v = view(spark, sf, "fx_vector").select("field_id", "mutation_id", *[F.round(F.col(c) / 8, 1).alias(c) for c in VECTOR])
     v.write.parquet(path)
     d = spark.readStream.schema(v.schema).parquet(path)
-    N.run_to_parquet(N.stream_early_stop(d, "field_id", "mutation_id", VECTOR, 4, 0.012), out + "/rows", out + "/checkpoint")
+    N.run_to_parquet(W.stream_early_stop(d, "field_id", "mutation_id", VECTOR, 4, 0.012), out + "/rows", out + "/checkpoint")
     return spark.read.schema("field_id long, stop_at long").parquet(out + "/rows")
 
 
@@ -158,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sources_trace, sources_features, sources_jsonl, sources_artifacts, select_samples, payload_candidates, payload_first, payload_stats,
-        dissection_flatten, stream_trace, stream_run_features, stream_dedupe, stream_early_stop,
+        dissection_flatten, stream_trace, stream_run_features, stream_after_taint, stream_dedupe, stream_early_stop,
     )
 }
 
@@ -195,6 +204,7 @@ ORACLES = {
         FROM parsed GROUP BY run_id""",
         "parsed",
     ),
+    "stream_after_taint": oracle("SELECT run_id, line_no, kind, mnemonic FROM after_taint", "after_taint"),
     "stream_dedupe": oracle("SELECT DISTINCT a, b, payload_hex FROM fx_payload", "fx_payload"),
     "stream_early_stop": oracle(
         f""", v AS (SELECT field_id, mutation_id, {_STOP_COLS} FROM fx_vector), n AS (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY mutation_id) AS p FROM v),
