@@ -304,7 +304,8 @@ def _blocks(vectors: DataFrame, rows: int) -> DataFrame:
                     ["block", "ids", "data", "n"],
                 )
 
-    return vectors.select(F.col("id").cast("long"), "vec").mapInArrow(run, _BLOCK)
+    usable = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)
+    return vectors.select(F.col("id").cast("long"), "vec").where(F.col("id").isNotNull() & usable).mapInArrow(run, _BLOCK)
 
 
 def _best_of_blocks(parts):
@@ -327,7 +328,8 @@ def nearest_label(unknown: DataFrame, known: DataFrame, rows: int = 2048, pivots
     Vectors are packed into blocks; each pair of blocks is one row and one matrix product, of
     which only the best of each unlabelled vector goes on.  So rows between stages number
     vectors times labelled blocks, never vectors times vectors.  ``pivots`` is accepted from
-    earlier callers and has no effect: there are no pivots any more.
+    earlier callers and has no effect: there are no pivots any more.  Vectors without a direction (null, zero, or
+    with null, NaN or infinite entries) take no part on either side, nor do rows without id.
     """
     labelled = _blocks(known, rows).select(F.col("ids").alias("k_ids"), F.col("data").alias("k_data"), F.col("n").alias("k_n"))
     pairs = _blocks(unknown, rows).join(labelled, how="cross")

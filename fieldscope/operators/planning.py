@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from fieldscope.functions.text import hex_value, immediates, index_expanded, unt
 from fieldscope.functions.units import fixed_hex, hex_add, max_hex, number_hex, power_of_two, write_bits, write_bytes
 from fieldscope.operators.matrix import hash_order
 from fieldscope.operators.trace import after_first_taint
+from fieldscope.session import stored
 
 GROUPS = ["neighborhood", "boundary", "enum", "extreme"]
 # Fixed mnemonic classes of the instruction mix.
@@ -171,7 +173,7 @@ def _supplement(items: Column, base: Column, width: Column, k: Column, steps: in
     return F.aggregate(F.sequence(F.lit(0), F.lit(2 * steps - 1)), items, step)
 
 
-def first_evidence(evidence: DataFrame, k: int, keys: Sequence[str] = FIELD) -> DataFrame:
+def first_evidence(evidence: DataFrame, k: int, keys: Sequence[str] = FIELD, order: Sequence[str] = ("line_no", "pos")) -> DataFrame:
     """First k + 2 constants per field as hex values, in order of first use.
 
     The constants are distinct, so k + 2 of them hold at least k + 1 values other
@@ -179,13 +181,15 @@ def first_evidence(evidence: DataFrame, k: int, keys: Sequence[str] = FIELD) ->
     inferred range comes from the full profile, not from this list.
     """
     n = k + 2
-    top = top_k(evidence, keys, [F.col("line_no"), F.col("pos")], ["value_hex"], n, "_n")
+    top = top_k(evidence, keys, [F.col(c) for c in order], ["value_hex"], n, "_n")
     return top.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col("value_hex").alias("v")))), lambda x: x["v"]).alias("evidence")
     )
 
 
-def grouped_candidates(fields: DataFrame, profile: DataFrame, evidence: DataFrame, k: int | str = 6, keys: Sequence[str] = FIELD) -> DataFrame:
+def grouped_candidates(
+    fields: DataFrame, profile: DataFrame, evidence: DataFrame, k: int | str = 6, keys: Sequence[str] = FIELD, order: Sequence[str] = ("line_no", "pos")
+) -> DataFrame:
     """Candidate values per strategy group.
 
     ``fields``: keys, width_bits, base_hex (current value, fixed-width hex), and a
@@ -197,7 +201,7 @@ def grouped_candidates(fields: DataFrame, profile: DataFrame, evidence: DataFram
     # With a limit per field, the largest one decides how many steps there are.
     steps = int(fields.agg(F.max(k)).first()[0] or 1) if isinstance(k, str) else int(k)
     d = (
-        fields.join(first_evidence(evidence, steps, keys), keys, "left")
+        fields.join(first_evidence(evidence, steps, keys, order), keys, "left")
         .join(profile.select(*keys, "range_lo_hex", "range_hi_hex"), keys, "left")
         .withColumn("_k", F.greatest(limit, F.lit(1)))
         .withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
@@ -295,6 +299,46 @@ def dedupe_payloads(m: DataFrame, keys: Sequence[str], order: str, name: str) ->
     return d.withColumn("reused", F.col(order) != F.col("_o")).drop("_p", "_o")
 
 
+def closed_loop(
+    fields: DataFrame, base_evidence: DataFrame, responses: DataFrame, rounds: int = 2, k: int | str = 6, keys: Sequence[str] = FIELD, byte_order: str = "big"
+) -> DataFrame:
+    """All rounds of planning: mutations of round 1, then enum mutations for constants that executed ones bring up.
+
+    ``fields``: keys, width_bits, base_hex, payload_hex and optionally allow_round2 (fields without it stop after round 1);
+    ``base_evidence``: keys, value_hex, line_no, pos of the baseline (``compare_evidence``);
+    ``responses``: keys, tried_hex, value_hex, line_no, pos: constants seen in the trace of the run that had the value tried_hex.
+
+    Every round reads the responses to the values of the round before only, and drops what is known; a field
+    without news takes no further part, and the loop ends when no field has any, or nothing new can be tried, or at the round limit.
+    Result: the rows of ``mutations`` with round and value_hex, named ``_r<round>_``.  A round's tables are
+    written once, so plans do not grow with the rounds.
+    """
+    keys = list(keys)
+    profile = constraint_profile(fields, base_evidence.withColumn("value", narrow_value(F.col("value_hex"))), keys)
+    planned = lambda m, r: stored(m.withColumn("value_hex", F.substring("final_value_hex", 3, 1 << 30)).withColumn("round", F.lit(r)), "round")
+    news = stored(base_evidence.select(*keys, "value_hex", F.lit(1).alias("round"), "line_no", "pos"), "known")
+    known, out = news, [planned(mutations(fields, grouped_candidates(fields, profile, base_evidence, k, keys), order=byte_order, keys=keys), 1)]
+    open_fields = fields.where("allow_round2") if "allow_round2" in fields.columns else fields
+    for r in range(2, rounds + 1):
+        executed = out[-1].select(*keys, F.col("value_hex").alias("tried_hex")).distinct()
+        seen = responses.join(executed, [*keys, "tried_hex"], "left_semi").join(known.select(*keys, "value_hex"), [*keys, "value_hex"], "left_anti")
+        first = seen.groupBy(*keys, "value_hex").agg(F.min(F.struct("line_no", "pos")).alias("_f"))
+        news = stored(first.select(*keys, "value_hex", F.lit(r).alias("round"), "_f.line_no", "_f.pos").join(open_fields.select(*keys), keys, "left_semi"), "news")
+        if news.isEmpty():
+            break
+        known = known.unionByName(news)
+        active = open_fields.join(news.select(*keys).distinct(), keys, "left_semi")
+        enum = grouped_candidates(active, profile, known, k, keys, ("round", "line_no", "pos")).where("strategy_group = 'enum'")
+        tried = out[0].select(*keys, "value_hex")
+        for done in out[1:]:
+            tried = tried.unionByName(done.select(*keys, "value_hex"))
+        more = planned(mutations(active, enum, tried, r, byte_order, keys), r)
+        if more.isEmpty():
+            break
+        out.append(more)
+    return reduce(DataFrame.unionByName, out)
+
+
 def next_round(evidence: DataFrame, base_evidence: DataFrame, tried: DataFrame, fields: DataFrame, keys: Sequence[str] = FIELD) -> DataFrame:
     """Constants seen in mutation traces but not in the baseline and not tried yet."""
     keys = list(keys)

@@ -134,11 +134,27 @@ def run_status(spark, sf):
     return D.run_status(h).select("run_id", "status")
 
 
+def _responses(spark, sf):
+    """Recorded runs: every event is one of value zero that brings up a constant, and one of that constant that brings up another."""
+    d = view(spark, sf, "fx_payload").select(F.col("sample_id").alias("run_id"), "a", "b", "event_id").withColumn("w", (F.col("b") - F.col("a") + 1) * 8)
+    code = lambda e: U.fixed_hex(U.number_hex(F.expr(e).cast("string")), F.col("w"))
+    one = d.select("run_id", "a", "b", code("0").alias("tried_hex"), code("event_id * 37").alias("value_hex"), "event_id", F.lit(0).alias("pos"))
+    two = d.select("run_id", "a", "b", code("event_id * 37").alias("tried_hex"), code("event_id * 53 + 11").alias("value_hex"), "event_id", F.lit(1).alias("pos"))
+    return one.unionByName(two).select("run_id", "a", "b", "tried_hex", "value_hex", F.col("event_id").alias("line_no"), "pos")
+
+
+def closed_loop(spark, sf):
+    """Mutations of rounds 2 and 3 of all fields, with those of round 1 counted in."""
+    _, f, ev = _parts(spark, sf)
+    m = P.closed_loop(f, ev.select("run_id", "a", "b", "value_hex", "line_no", "pos"), _responses(spark, sf), rounds=3)
+    return m.select("run_id", "a", "b", "round", "name", "strategy", "value_hex", "payload_hex")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         compare_evidence, constraint_profile, instruction_mix, field_budget, grouped_candidates, mutations,
-        mutation_violations, payload_reuse, next_round, select_targets, target_pick, constraint_values, mutation_meta, run_status,
+        mutation_violations, payload_reuse, next_round, select_targets, target_pick, constraint_values, mutation_meta, run_status, closed_loop,
     )
 }
 
@@ -199,6 +215,43 @@ s0 AS (SELECT run_id, a, b, g, w, base, mask, payload_hex, list(v ORDER BY n) AS
 mut AS (SELECT run_id, a, b, g, s, format('{}_{}_r1_{:02d}', g, s, n) AS name, substr(payload_hex, 1, 2 * a) || vh || substr(payload_hex, 2 * b + 3) AS payload_hex, '0x' || vh AS final_value_hex FROM cnd)"""
 )
 
+
+
+def _round(r: int) -> str:
+    """Round r of the loop: tables nw (news), kn (known), cn (planned) and tr (tried)."""
+    chain = "".join(
+        f""", z{r}_{i + 1} AS (SELECT run_id, a, b, w, base, mask, payload_hex, CASE WHEN ok THEN list_append(vs, v) ELSE vs END AS vs, CASE WHEN ok THEN list_append(ss, '{('supplement_minus_1', 'supplement_plus_1')[i % 2]}') ELSE ss END AS ss
+  FROM (SELECT *, len(vs) < 6 AND {i // 2} < len(vs) AND v <> base AND NOT list_contains(vs, v) AS ok FROM (SELECT *, (vs[{i // 2 + 1}] + {(-1, 1)[i % 2]}) & mask AS v FROM z{r}_{i}) q) r)"""
+        for i in range(12)
+    )
+    return f""", nw{r} AS (SELECT p.run_id, p.a, p.b, p.value, min(p.ln) AS ln FROM rsp p
+  WHERE EXISTS (SELECT 1 FROM cn{r - 1} c WHERE c.run_id = p.run_id AND c.a = p.a AND c.b = p.b AND c.v = p.tried)
+    AND NOT EXISTS (SELECT 1 FROM kn{r - 1} k WHERE k.run_id = p.run_id AND k.a = p.a AND k.b = p.b AND k.value = p.value) GROUP BY ALL),
+kn{r} AS (SELECT * FROM kn{r - 1} UNION ALL SELECT run_id, a, b, value, {r} AS rd, ln FROM nw{r}),
+us{r} AS (SELECT k.*, f.w, f.base, f.mask, f.payload_hex FROM kn{r} k JOIN fd f USING (run_id, a, b) WHERE value <> base AND (run_id, a, b) IN (SELECT (run_id, a, b) FROM nw{r})),
+it{r} AS (SELECT run_id, a, b, w, base, mask, payload_hex, value AS v, 'constraint' AS s, row_number() OVER (PARTITION BY run_id, a, b ORDER BY rd, ln, value) AS n FROM us{r}
+  UNION ALL SELECT f.run_id, f.a, f.b, f.w, f.base, f.mask, f.payload_hex, x.v, 'enum_supplement', x.n FROM fd f, LATERAL (VALUES (1, 0), (2, 1), (3, f.mask)) x(n, v)
+    WHERE x.v <> f.base AND (run_id, a, b) IN (SELECT (run_id, a, b) FROM nw{r}) AND (run_id, a, b) NOT IN (SELECT (run_id, a, b) FROM us{r})),
+z{r}_0 AS (SELECT run_id, a, b, w, base, mask, payload_hex, list(v ORDER BY n) AS vs, list(s ORDER BY n) AS ss FROM it{r} WHERE n <= 6 GROUP BY ALL){chain},
+pl{r} AS (SELECT run_id, a, b, w, payload_hex, unnest(vs) AS v, unnest(ss) AS s, unnest(range(1, len(vs) + 1)) AS n FROM z{r}_12),
+cn{r} AS (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY run_id, a, b ORDER BY n) AS n FROM pl{r} p
+  WHERE NOT EXISTS (SELECT 1 FROM tr{r - 1} t WHERE t.run_id = p.run_id AND t.a = p.a AND t.b = p.b AND t.v = p.v)),
+tr{r} AS (SELECT * FROM tr{r - 1} UNION ALL SELECT run_id, a, b, v FROM cn{r})"""
+
+
+_LOOP = (
+    _CAND
+    + """, rsp AS (SELECT run_id, a, b, 0 AS tried, (event_id * 37) & mask AS value, 2 * event_id AS ln FROM (SELECT p.sample_id AS run_id, p.a, p.b, p.event_id, f.mask FROM fx_payload p JOIN fd f ON f.run_id = p.sample_id AND f.a = p.a AND f.b = p.b) q
+  UNION ALL SELECT run_id, a, b, (event_id * 37) & mask, (event_id * 53 + 11) & mask, 2 * event_id + 1 FROM (SELECT p.sample_id AS run_id, p.a, p.b, p.event_id, f.mask FROM fx_payload p JOIN fd f ON f.run_id = p.sample_id AND f.a = p.a AND f.b = p.b) q),
+cn1 AS (SELECT * FROM cnd), kn1 AS (SELECT run_id, a, b, value, 1 AS rd, line_no AS ln FROM evd), tr1 AS (SELECT run_id, a, b, v FROM cn1)"""
+    + _round(2)
+    + _round(3)
+    + "".join(
+        f""", o{r} AS (SELECT run_id, a, b, CAST({r} AS INT) AS round, format('enum_{{}}_r{r}_{{:02d}}', s, n) AS name, s AS strategy, lpad(lower(to_hex(v)), w // 4, '0') AS value_hex, payload_hex FROM cn{r})"""
+        for r in (2, 3)
+    )
+)
+
 _V = ("after_taint", "fx_payload")
 
 ORACLES = {
@@ -224,6 +277,13 @@ ORACLES = {
         _CAND + "SELECT run_id, a, b, g AS strategy_group, CAST(n - 1 AS INT) AS pos, s AS strategy, vh AS value_hex FROM cnd", *_V
     ),
     "mutations": oracle(_CAND + "SELECT run_id, a, b, name, payload_hex, final_value_hex FROM mut", *_V),
+    "closed_loop": oracle(
+        _LOOP
+        + """, al AS (SELECT * FROM o2 UNION ALL SELECT * FROM o3)
+        SELECT run_id, a, b, CAST(1 AS INT) AS round, name, s AS strategy, substr(final_value_hex, 3) AS value_hex, payload_hex FROM mut
+        UNION ALL SELECT run_id, a, b, round, name, strategy, value_hex, substr(payload_hex, 1, 2 * a) || value_hex || substr(payload_hex, 2 * b + 3) FROM al""",
+        *_V,
+    ),
     "mutation_violations": oracle(
         """, v AS (SELECT * FROM (VALUES ('neighborhood'), ('boundary'), ('enum'), ('extreme')) x(g)), f AS (SELECT DISTINCT sample_id, a, b FROM fx_payload)
         SELECT g AS strategy_group, count(*) * 6 AS planned, CAST(0 AS BIGINT) AS violations FROM v, f GROUP BY g""",
