@@ -99,13 +99,13 @@ def classify_columns(spark, sf):
 
 def protocol_stats(spark, sf):
     d = feature(spark, sf).withColumn("boundary_miss", (F.col("field_id") % 3 == 0).cast("int"))
-    s = H.protocol_stats(d, ["f1", "f2"], "boundary_miss")
-    return r6s(s, "fields_per_sample", "share", "boundary_miss_ratio", "mean_f1", "mean_f2")
+    s = H.protocol_stats(d, FEATURES, "boundary_miss")
+    return r6s(s, "fields_per_sample", "share", "boundary_miss_ratio", *[f"mean_{c}" for c in FEATURES])
 
 
 def missing_report(spark, sf):
     d = feature(spark, sf).withColumn("f1", F.when(F.col("field_id") % 5 != 0, F.col("f1")))
-    return r6s(H.missing_report(d, ["f1", "f2", "f99"]), "missing_ratio")
+    return r6s(H.missing_report(d, [*FEATURES, "f99"]), "missing_ratio")
 
 
 def variance_report(spark, sf):
@@ -145,7 +145,7 @@ def histogram(spark, sf):
 
 
 def box_stats(spark, sf):
-    return r6s(H.box_stats(feature(spark, sf), ["f1", "f2"], ["protocol_name"]), "min", "q1", "median", "q3", "max")
+    return r6s(H.box_stats(feature(spark, sf), FEATURES, ["protocol_name"]), "min", "q1", "median", "q3", "max")
 
 
 def top_outlier_features(spark, sf):
@@ -453,13 +453,16 @@ ORACLES = {
     "protocol_stats": oracle(
         """SELECT protocol_name, count(*) AS fields, count(DISTINCT sample_id) AS samples, ROUND(count(*) / count(DISTINCT sample_id), 6) AS fields_per_sample,
           ROUND(count(*) / (SELECT count(*) FROM fx_feature), 6) AS share, count(*) FILTER (WHERE field_id % 3 = 0) AS boundary_miss_count,
-          ROUND(count(*) FILTER (WHERE field_id % 3 = 0) / count(*), 6) AS boundary_miss_ratio, ROUND(avg(f1), 6) AS mean_f1, ROUND(avg(f2), 6) AS mean_f2
-        FROM fx_feature GROUP BY protocol_name""",
+          ROUND(count(*) FILTER (WHERE field_id % 3 = 0) / count(*), 6) AS boundary_miss_ratio, """
+        + ", ".join(f"ROUND(avg({c}), 6) AS mean_{c}" for c in FEATURES)
+        + " FROM fx_feature GROUP BY protocol_name",
         "fx_feature",
     ),
     "missing_report": oracle(
         """SELECT count(*) AS rows, 'f1' AS "column", count(*) FILTER (WHERE field_id % 5 = 0) AS missing, ROUND(count(*) FILTER (WHERE field_id % 5 = 0) / count(*), 6) AS missing_ratio FROM fx_feature
-        UNION ALL SELECT count(*), 'f2', 0, 0.0 FROM fx_feature UNION ALL SELECT count(*), 'f99', count(*), 1.0 FROM fx_feature""",
+        """
+        + "".join(f"UNION ALL SELECT count(*), '{c}', count(*) FILTER ({c} IS NULL), ROUND(count(*) FILTER ({c} IS NULL) / count(*), 6) FROM fx_feature " for c in FEATURES[1:])
+        + "UNION ALL SELECT count(*), 'f99', count(*), 1.0 FROM fx_feature",
         "fx_feature",
     ),
     "variance_report": oracle(
@@ -512,7 +515,7 @@ ORACLES = {
     "box_stats": oracle(
         _FL
         + """SELECT protocol_name, col AS "column", ROUND(min(x), 6) AS min, ROUND(quantile_cont(x, 0.25), 6) AS q1, ROUND(quantile_cont(x, 0.5), 6) AS median,
-          ROUND(quantile_cont(x, 0.75), 6) AS q3, ROUND(max(x), 6) AS max FROM l WHERE col IN ('f1', 'f2') GROUP BY protocol_name, col""",
+          ROUND(quantile_cont(x, 0.75), 6) AS q3, ROUND(max(x), 6) AS max FROM l GROUP BY protocol_name, col""",
         "fx_feature",
     ),
     "top_outlier_features": oracle(
