@@ -84,6 +84,13 @@ def compare_evidence(events: DataFrame, fields: DataFrame, owned: bool = True) -
     )
 
 
+def _hexed(evidence: DataFrame) -> DataFrame:
+    """Evidence with ``value_hex``; a table that has numbers only (value, width_bits) gets it from them."""
+    if "value_hex" in evidence.columns:
+        return evidence
+    return evidence.withColumn("value_hex", fixed_hex(number_hex(F.col("value").cast("decimal(38,0)").cast("string")), F.col("width_bits")))
+
+
 def narrow_value(digits: Column) -> Column:
     """Number of hex digits; null if it needs more than 64 bits."""
     short = F.regexp_replace(digits, "^0+(?=.)", "")
@@ -113,7 +120,7 @@ def constraint_profile(fields: DataFrame, evidence: DataFrame, keys: Sequence[st
     """
     low_bits = F.length(F.replace(F.conv(F.col("value").cast("string"), 10, 2), F.lit("0"), F.lit("")))
     # Digits of one width order like their values.
-    g = evidence.groupBy(*keys).agg(
+    g = _hexed(evidence).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("value_hex").alias("lo"), F.max("value_hex").alias("hi"),
         F.count_if((F.col("value") > 0) & (low_bits <= 2)).alias("_sparse"),
     )
@@ -181,7 +188,7 @@ def first_evidence(evidence: DataFrame, k: int, keys: Sequence[str] = FIELD, ord
     inferred range comes from the full profile, not from this list.
     """
     n = k + 2
-    top = top_k(evidence, keys, [F.col(c) for c in order], ["value_hex"], n, "_n")
+    top = top_k(_hexed(evidence), keys, [F.col(c) for c in order], ["value_hex"], n, "_n")
     return top.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col("value_hex").alias("v")))), lambda x: x["v"]).alias("evidence")
     )
@@ -342,7 +349,7 @@ def closed_loop(
 def next_round(evidence: DataFrame, base_evidence: DataFrame, tried: DataFrame, fields: DataFrame, keys: Sequence[str] = FIELD) -> DataFrame:
     """Constants seen in mutation traces but not in the baseline and not tried yet."""
     keys = list(keys)
-    fresh = evidence.join(base_evidence.select(*keys, "value_hex"), [*keys, "value_hex"], "left_anti")
+    fresh = _hexed(evidence).join(_hexed(base_evidence).select(*keys, "value_hex"), [*keys, "value_hex"], "left_anti")
     fresh = fresh.join(tried.select(*keys, "value_hex").distinct(), [*keys, "value_hex"], "left_anti")
     return fresh.join(fields.select(*keys, "base_hex"), keys).where(F.col("value_hex") != F.col("base_hex"))
 
