@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -115,7 +116,10 @@ def heldout_split(fields: DataFrame, truth: DataFrame, ratio_eval: float = 0.30,
 
 
 class Projection:
-    """Mean-centred PCA fitted on training rows; only the d x d model is on the driver."""
+    """Mean-centred PCA fitted on training rows; only the d x d model is on the driver.
+
+    Axes have one form: unit length, by falling variance, the largest loading (the first of several) positive.
+    """
 
     def __init__(self, cols: Sequence[str], scaler, pca: PCAModel):
         self.cols, self.scaler, self.pca = list(cols), scaler, pca
@@ -124,9 +128,30 @@ class Projection:
     def axes(self) -> int:
         return self.pca.getK()
 
+    @property
+    def _signs(self) -> np.ndarray:
+        v = self.pca.pc.toArray()
+        return np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
+
+    @property
+    def loadings(self) -> np.ndarray:
+        """Columns are the axes."""
+        return self.pca.pc.toArray() * self._signs
+
+    @property
+    def explained(self) -> list[float]:
+        """Share of the training variance of each axis."""
+        return [float(x) for x in self.pca.explainedVariance.toArray()]
+
     def _scores(self, df: DataFrame) -> DataFrame:
         x = VectorAssembler(inputCols=self.cols, outputCol="_x").transform(df)
-        return self.pca.transform(self.scaler.transform(x)).withColumn("_z", vector_to_array("_p"))
+        signs = F.array(*[F.lit(float(s)) for s in self._signs])
+        return self.pca.transform(self.scaler.transform(x)).withColumn("_z", F.zip_with(vector_to_array("_p"), signs, lambda a, b: a * b))
+
+    def norms(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """Squared length of each centred row, and of its image on the axes; neither depends on signs or rotations."""
+        square = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x)
+        return self._scores(df).select(*keep, square(vector_to_array("_s")).alias("row_norm"), square("_z").alias("image_norm"))
 
     def project(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         d = self._scores(df)
@@ -134,7 +159,7 @@ class Projection:
 
     def reconstruction_error(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Mean squared error per row between the centred row and its image from the axes."""
-        v = self.pca.pc.toArray()
+        v = self.loadings
         rows = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in v])
         d = self._scores(df).withColumn("_c", vector_to_array("_s"))
         dot = lambda r: F.aggregate(F.zip_with("_z", r, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)

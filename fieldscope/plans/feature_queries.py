@@ -221,6 +221,13 @@ def projection(spark, sf):
     return M.fit_projection(d.where(F.col("side") == "train"), FEATURES, 8).project(d, K)
 
 
+def projection_norms(spark, sf):
+    """With all axes the image of a row is as long as the row itself."""
+    d = feature(spark, sf)
+    p = M.fit_projection(d, FEATURES, len(FEATURES))
+    return r6s(p.norms(d, K), "row_norm", "image_norm")
+
+
 def reconstruction_error(spark, sf):
     d = _scaled(spark, sf)
     p = M.fit_projection(d.where(F.col("side") == "train"), FEATURES, 8)
@@ -334,7 +341,7 @@ QUERIES = {
         distribution, dataset_summary, feature_spec, classify_columns, protocol_stats, missing_report, variance_report,
         iqr_outliers, correlation_pairs, strong_pairs, feature_health, diagnosis_flags, readiness, histogram, box_stats,
         top_outlier_features, health_report, filter_transparent, filter_report, apply_split, split_problems, minmax_scale,
-        matrix_summary, heldout_split, projection, reconstruction_error, axis_probe_corr, axis_evidence, evidence_strength,
+        matrix_summary, heldout_split, projection, projection_norms, reconstruction_error, axis_probe_corr, axis_evidence, evidence_strength,
         percentile_rank, percentile_rank_against, activations, active_axes, field_profile, fusion_payload, json_extract,
         axis_semantics, normalize_tags, pending,
     )
@@ -450,6 +457,12 @@ ORACLES = {
         + " UNION ALL SELECT 'f29', 'model', false, false, 0) q",
         "fx_feature",
     ),
+    "projection_norms": oracle(
+        ", m AS (SELECT " + ", ".join(f"avg({c}) AS a_{c}" for c in FEATURES) + " FROM fx_feature), n AS (SELECT protocol_name, sample_id, field_id, "
+        + " + ".join(f"pow({c} - a_{c}, 2)" for c in FEATURES)
+        + " AS v FROM fx_feature, m) SELECT protocol_name, sample_id, field_id, ROUND(v, 6) AS row_norm, ROUND(v, 6) AS image_norm FROM n",
+        "fx_feature",
+    ),
     "protocol_stats": oracle(
         """SELECT protocol_name, count(*) AS fields, count(DISTINCT sample_id) AS samples, ROUND(count(*) / count(DISTINCT sample_id), 6) AS fields_per_sample,
           ROUND(count(*) / (SELECT count(*) FROM fx_feature), 6) AS share, count(*) FILTER (WHERE field_id % 3 = 0) AS boundary_miss_count,
