@@ -78,7 +78,26 @@ def bit_constraint_values(spark, sf):
     return units.select("run_id", "repr", F.array_sort(P.bit_constraint_values(F.col("constraints"), F.col("width_bits"))).alias("evidence"))
 
 
-QUERIES = {f.__name__: f for f in (bit_constraints, bitfields_table, bitfield_evidence, bit_operation_driven, merge_bitfield_constraints, bit_constraint_values)}
+# Ranges that the second trace's index texts stand for here: typed moves of four bytes, and ranges with stable halves.
+_WIDE = {"0": (0, 3), "1": (0, 1), "2,3": (2, 3), "4": (4, 7), "5,6": (4, 5), "7": (6, 7), "8,9": (8, 9)}
+
+
+def _wide_stats(spark, sf):
+    e = events(spark, sf, "fx_trace2")
+    texts = F.create_map(*[F.lit(x) for k, (a, b) in _WIDE.items() for x in (k, ",".join(map(str, range(a, b + 1))))])
+    return S.field_stats(S.field_evidence(e.withColumn("idx_raw", F.coalesce(texts[F.col("idx_raw")], F.col("idx_raw")))))
+
+
+def segment_typed_stats(spark, sf):
+    """Statistics of ranges with typed moves, assembled values and suppressed unions of stable halves."""
+    return _wide_stats(spark, sf)
+
+
+def segment_typed_fields(spark, sf):
+    return S.segment_fields(stored(_wide_stats(spark, sf), "stats"))
+
+
+QUERIES = {f.__name__: f for f in (segment_typed_stats, segment_typed_fields, bit_constraints, bitfields_table, bitfield_evidence, bit_operation_driven, merge_bitfield_constraints, bit_constraint_values)}
 
 _EVENTS = r""", t AS (SELECT run_id, line_no, disasm, mnemonic, idx_raw, info_raw, branch, CAST(regexp_extract(addr, '0x(\d+)$', 1) AS INT) AS k,
     lead(mnemonic) OVER w AS nm, lead(branch) OVER w = 'TAKEN' AS taken, lead(line_no) OVER w IS NOT NULL AS follows
@@ -168,7 +187,41 @@ _UNITS = """, un AS (SELECT t.run_id, 'bit' AS kind, t.a, t.b, t.field_id || f.l
 _TOKENS = """, tk AS (SELECT DISTINCT run_id, idx_raw AS field_id, CAST(split_part(idx_raw, ',', 1) AS INT) AS a, CAST(split_part(idx_raw, ',', -1) AS INT) AS b
   FROM parsed WHERE idx_raw <> '-')"""
 
+_TYPED = (
+    f""", ins AS (SELECT run_id, line_no, mnemonic, CASE WHEN mnemonic IN ('cmp', 'test') OR mnemonic LIKE 'j%' THEN 3 WHEN mnemonic LIKE 'mov%' THEN 1 ELSE 2 END AS level,
+    CASE idx_raw {' '.join(f"WHEN '{k}' THEN {a}" for k, (a, b) in _WIDE.items())} END AS a0, CASE idx_raw {' '.join(f"WHEN '{k}' THEN {b}" for k, (a, b) in _WIDE.items())} END AS b0
+  FROM after_taint WHERE kind = 'Instruction'),"""
+    + """
+lc AS (SELECT *, last_value(CASE WHEN mnemonic IN ('cmp', 'test') THEN a0 END IGNORE NULLS) OVER w AS ca, last_value(CASE WHEN mnemonic IN ('cmp', 'test') THEN b0 END IGNORE NULLS) OVER w AS cb
+  FROM ins WINDOW w AS (PARTITION BY run_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+ev AS (SELECT run_id, coalesce(a0, ca) AS a, coalesce(b0, cb) AS b, level, mnemonic FROM lc WHERE coalesce(a0, ca) IS NOT NULL),
+s0 AS (SELECT run_id, a, b, count(*) FILTER (level = 3) AS compare_count, count(*) FILTER (level = 2) AS compute_count, count(*) FILTER (level = 1) AS move_count,
+    count(*) AS total_count, bool_or(mnemonic = 'movss' AND b - a = 3) AS typed, bool_or(mnemonic IN ('cmp', 'test', 'mov', 'movss')) AS landing FROM ev GROUP BY ALL),
+s1 AS (SELECT *, CASE WHEN compare_count > 0 THEN 3 WHEN compute_count > 0 THEN 2 ELSE 1 END AS max_level,
+    CASE WHEN compare_count > 0 THEN compare_count WHEN compute_count > 0 THEN compute_count ELSE move_count END AS count_at_max_level,
+    (SELECT count(*) FROM s0 t WHERE t.run_id = s.run_id AND t.a >= s.a AND t.b <= s.b AND NOT (t.a = s.a AND t.b = s.b) AND t.compute_count > 0 AND (t.a = s.a OR t.b = s.b)) AS parts FROM s0 s),
+s2 AS (SELECT *, CAST(typed OR (b > a AND landing AND parts >= 2) AS INT) AS assembled_full_value FROM s1),
+s3 AS (SELECT *, CASE WHEN assembled_full_value = 1 THEN greatest(max_level, 2) ELSE max_level END AS effective_level FROM s2),
+hf AS (SELECT run_id, a, b FROM s3 WHERE compare_count >= 1 OR (assembled_full_value = 1 AND effective_level >= 2 AND total_count >= 3)),
+st AS (SELECT run_id, a, b, compare_count, compute_count, move_count, total_count, CAST(max_level AS INT) AS max_level, count_at_max_level, assembled_full_value,
+    CAST(typed AS INT) AS typed_float_consumption, CAST(effective_level AS INT) AS effective_level,
+    (b - a + 1) >= 4 AND (b - a + 1) % 2 = 0 AND (compare_count >= 1 OR total_count >= 4)
+      AND EXISTS (SELECT 1 FROM hf h WHERE h.run_id = s3.run_id AND h.a = s3.a AND h.b = (s3.a + s3.b - 1) // 2)
+      AND EXISTS (SELECT 1 FROM hf h WHERE h.run_id = s3.run_id AND h.a = (s3.a + s3.b + 1) // 2 AND h.b = s3.b) AS suppressed,
+    CAST(row_number() OVER (PARTITION BY run_id ORDER BY effective_level DESC, assembled_full_value DESC, count_at_max_level DESC, total_count DESC, b - a, a, b) AS INT) AS rank FROM s3)"""
+)
+
 ORACLES = {
+    "segment_typed_stats": oracle(_TYPED + "SELECT * FROM st", "after_taint", second=True),
+    "segment_typed_fields": oracle(
+        _TYPED
+        + """, ow AS (SELECT run_id, byte, min(rank) AS rank FROM (SELECT run_id, rank, unnest(range(a, b + 1)) AS byte FROM st WHERE NOT suppressed) q GROUP BY ALL),
+        pc AS (SELECT run_id, rank, CAST(min(byte) AS INT) AS a, CAST(max(byte) AS INT) AS b FROM
+               (SELECT *, byte - row_number() OVER (PARTITION BY run_id, rank ORDER BY byte) AS g FROM ow) q GROUP BY run_id, rank, g)
+        SELECT pc.run_id, pc.a, pc.b, CASE WHEN pc.a = pc.b THEN CAST(pc.a AS VARCHAR) ELSE pc.a || ',' || pc.b END AS repr, coalesce(o.total_count, p.total_count) AS count
+        FROM pc JOIN st p ON p.run_id = pc.run_id AND p.rank = pc.rank LEFT JOIN st o ON o.run_id = pc.run_id AND o.a = pc.a AND o.b = pc.b""",
+        "after_taint", second=True,
+    ),
     "bit_constraints": oracle(
         _EVENTS + "SELECT run_id, field_id, line_no, kind AS event_kind, cmask AS mask, operator, value, sub AS subfield_constraint, sub AS expression FROM ev WHERE operator IS NOT NULL",
         "after_taint", second=True,
