@@ -56,6 +56,56 @@ def test_mixture_likelihood_never_falls():
         last = value.sum()
 
 
+def plain_mixture(log_p, text, steps=12, penalty=1.0):
+    """Shares and language set of one text, trigram by trigram."""
+    raw = " ".join("".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()).split())
+    raw = b" " + raw.encode() + b" "
+    counts = Counter(((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32) >> 16 for i in range(len(raw) - 2))
+    grams, n_lang, total = sorted(counts), len(log_p), sum(counts.values())
+
+    def run(allowed):
+        shares = [1 / len(allowed) if x in allowed else 0.0 for x in range(n_lang)]
+        limit, step = steps, 0
+        while True:
+            whole = {g: sum(math.exp(log_p[x][g]) * shares[x] for x in allowed) for g in grams}
+            if step == limit:
+                return shares, sum(counts[g] * math.log(whole[g]) for g in grams)
+            new = [sum(counts[g] * math.exp(log_p[x][g]) * shares[x] / whole[g] for g in grams) / total if x in allowed else 0.0 for x in range(n_lang)]
+            if max(abs(a - b) for a, b in zip(new, shares)) < 2e-3:
+                limit = step + 1
+            shares, step = new, step + 1
+
+    single = [sum(counts[g] * log_p[x][g] for g in grams) for x in range(n_lang)]
+    full, _ = run(range(n_lang))
+    order = sorted(range(n_lang), key=lambda x: -full[x])
+    cost = penalty * 0.5 * math.log1p(total / 3)
+    best = max(range(n_lang), key=lambda x: single[x])
+    value, chosen, winner = max(single) / 3 - cost, [best], best
+    for k in range(2, n_lang + 1):
+        part, likelihood = run(order[:k])
+        if likelihood / 3 - k * cost <= value:
+            break
+        value, chosen = likelihood / 3 - k * cost, sorted(order[:k])
+        winner = max(range(n_lang), key=lambda x: part[x])
+    return winner, full[winner], chosen
+
+
+def test_mixture_decisions_equal_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    profiles = langid.fit(docs, "text", "lang", remainder(F.col("doc_id"), 4) != 2)
+    rows = docs.where("lang is not null and length(text) between 30 and 700").orderBy("doc_id").limit(60).collect()
+    texts = [r.text for r in rows]
+    mixed = [a[:300] + " " + b[:300] for a, b in zip(texts, texts[1:])] + ["la", "der the", "x y z"]
+    log_p = profiles.log_p.astype(float).tolist()
+    several = 0
+    for text in texts + mixed:
+        lang, share, chosen = langid.infer(profiles, [langid.trigrams(text)])[0]
+        want = plain_mixture(log_p, text)
+        assert (lang, chosen) == (want[0], want[2]) and abs(share - want[1]) < 2e-3
+        several += len(chosen) > 1
+    assert several > 10
+
+
 def test_pairwise_part_equals_the_double_sum():
     rng = np.random.default_rng(1)
     machine = factorization.Machine(0.3, rng.normal(size=50), rng.normal(size=(50, 4)))
