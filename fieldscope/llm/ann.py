@@ -2,7 +2,8 @@
 
 Vectors are packed into blocks; a block's index holds, for each random projection, the projected
 values in sorted order.  A query's windows lie around its own projections.  Virtual rehashing
-widens them round by round; a vector that falls into the windows of at least ``threshold``
+widens them round by round, walking and counting only the entries that a window newly covers; a
+vector that falls into the windows of at least ``threshold``
 projections is a candidate and its exact inner product is computed.  A block is done when the
 windows have reached the distance of its k-th best candidate and enough candidates were verified.
 
@@ -28,16 +29,14 @@ from fieldscope.llm.common import batches, stored
 
 @dataclass(frozen=True)
 class Windows:
-    projections: int = 64
+    projections: int = 160
     #: Share of the projections in whose windows a candidate must lie.
     threshold: float = 0.6
     #: First half width, in units of the block's median distance to its centre; growth per round.
-    first: float = 0.7
-    growth: float = 1.35
-    #: A round may end the search only when this share of the block was verified.
-    verified: float = 0.15
-    #: ... and at least this many vectors (or the whole block).
-    least: int = 600
+    first: float = 0.6
+    growth: float = 1.1
+    #: A round may end the search only when this share of the block, and k more, was verified.
+    verified: float = 0.2
     seed: int = 11
 
 
@@ -54,20 +53,19 @@ class Index:
         values = vectors @ self.directions[:-1] + added[:, None] * self.directions[-1]
         order = np.argsort(values, axis=0, kind="stable")
         self.sorted = np.take_along_axis(values, order, axis=0).T.copy()
-        # Place of every vector in each sorted array: a window of places is a window of values.
-        self.places = np.empty((params.projections, n), np.uint16)
-        np.put_along_axis(self.places, order.T, np.arange(n, dtype=np.uint16)[None, :], axis=1)
+        # Whose value stands at each place: a window is walked as a slice of this array.
+        self.order = list(order.T.astype(np.uint16))
         # Values of random vectors at distance r spread over about r: one scale for all blocks.
         self.unit = float(np.sqrt(self.bound)) or 1.0
 
     def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int):
-        """For each query: (positions, scores) of its k best verified vectors other than its own id."""
+        """For each query: (positions, scores) of its k best verified vectors other than its own id, and how many were verified."""
         p = self.params
         n, m = len(self.vectors), p.projections
         centre = queries @ self.directions[:-1]
         lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         need = int(np.ceil(p.threshold * m))
-        quota = min(n, max(int(p.verified * n), p.least) + k)
+        quota = min(n, int(np.ceil(p.verified * n)) + k)
         widths = []
         half = p.first * self.unit
         reach = max(float(np.abs(self.sorted).max()), float(np.abs(centre).max())) * 2 + 1
@@ -75,16 +73,20 @@ class Index:
             widths.append(half)
             half *= p.growth
         widths.append(reach)
-        edges = [(np.stack([np.searchsorted(self.sorted[j], centre[:, j] - w, "left") for j in range(m)]),
-                  np.stack([np.searchsorted(self.sorted[j], centre[:, j] + w, "right") for j in range(m)])) for w in widths]
+        # Places of the windows' ends and of their common middle, each (query, projection).
+        places = lambda shift, side: np.stack([np.searchsorted(self.sorted[j], centre[:, j] + shift, side) for j in range(m)], axis=1)
+        edges = [(places(-w, "left"), places(w, "right")) for w in widths]
+        middle = places(0.0, "left")
         for q in range(len(queries)):
-            done = np.zeros(n, bool)
+            done, hits = np.zeros(n, bool), np.zeros(n, np.int64)
             found, scores, total = [], [], 0
+            low = high = middle[q].tolist()
             for w, (starts, ends) in zip(widths, edges):
-                first, size = starts[:, q, None], (ends - starts)[:, q, None].astype(np.uint16)
-                # Unsigned differences wrap around, so one comparison tests both ends of a window.
-                inside = (self.places - first.astype(np.uint16)) < size
-                hits = inside.view(np.uint8).sum(axis=0, dtype=np.uint8)
+                # Only what a window newly covers on either side is walked and counted.
+                left, right = starts[q].tolist(), ends[q].tolist()
+                pieces = [o[a:b] for o, a, b in zip(self.order, left, low)] + [o[a:b] for o, a, b in zip(self.order, high, right)]
+                low, high = left, right
+                hits += np.bincount(np.concatenate(pieces), minlength=n)
                 fresh = np.flatnonzero((hits >= need) & ~done)
                 if len(fresh):
                     done[fresh] = True
@@ -105,7 +107,7 @@ class Index:
             other = ids[at] != own[q]
             at, value = at[other], value[other]
             best = np.lexsort((ids[at], -value))[:k]
-            yield at[best], value[best]
+            yield at[best], value[best], total
 
 
 def pack_vectors(vectors: DataFrame, id_col: str, vec_col: str, block_rows: int) -> DataFrame:
@@ -161,8 +163,8 @@ def nearest(
     the query's.  Repeated rows are separate candidates; a repeated query id is answered once, by
     the rows' pooled candidates.  Fewer than k candidates: all of them.  Empty in, empty out.
     """
-    if block_rows > 65_535 or params.projections > 255:
-        raise ValueError("places are kept in 16 bits and collisions in 8")
+    if block_rows > 65_535:
+        raise ValueError("a block's positions are kept in 16 bits")
     data = stored(pack_vectors(vectors, id_col, vec_col, block_rows), "vectors")
     asked = stored(pack_vectors(queries, id_col, vec_col, query_rows).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("n").alias("q_n"), F.col("dim").alias("q_dim")), "queries")
     # Block numbers meet as narrow rows first; the packed bytes are fetched by equi-joins.
@@ -182,7 +184,7 @@ def nearest(
                         index = Index(np.frombuffer(row["data"], np.float64).reshape(row["n"], row["dim"]), params)
                     own = np.frombuffer(row["q_ids"], np.int64)
                     asked_for = np.frombuffer(row["q_data"], np.float64).reshape(row["q_n"], row["dim"])
-                    for query, (at, value) in zip(own.tolist(), index.search(asked_for, own, ids, k)):
+                    for query, (at, value, _) in zip(own.tolist(), index.search(asked_for, own, ids, k)):
                         yield from ((query, int(ids[a]), float(v)) for a, v in zip(at, value))
 
         yield from batches(rows(), arrow, 1 << 14)

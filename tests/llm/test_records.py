@@ -10,6 +10,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,12 +115,41 @@ def test_neighbour_recall_on_a_larger_block():
     x = centres[rng.integers(0, 40, 9000)] + 0.8 * rng.normal(size=(9000, 48))
     x *= rng.lognormal(0, 0.2, size=(9000, 1))  # norms differ: largest product, not smallest angle
     ids = np.arange(9000)
-    index, hits = ann.Index(x[:8000], ann.Windows()), 0
-    for q, (at, value) in zip(range(8000, 8060), index.search(x[8000:8060], ids[8000:8060], ids[:8000], 20)):
+    index, hits, seen = ann.Index(x[:8000], ann.Windows()), 0, 0
+    for q, (at, value, verified) in zip(range(8000, 8060), index.search(x[8000:8060], ids[8000:8060], ids[:8000], 20)):
         truth = set(np.argsort(-(x[:8000] @ x[q]), kind="stable")[:20].tolist())
         hits += len(truth & set(at.tolist()))
+        seen += verified
         assert np.allclose(value, x[at] @ x[q], rtol=1e-12)
-    assert hits / 1200 >= 0.9
+    assert hits / 1200 >= 0.9 and seen < 60 * 8000 / 2
+
+
+def test_small_blocks_are_searched_through_the_windows_too():
+    rows = pq.read_table(f"{SF}/embeddings.parquet", columns=["vec_id", "embedding"]).sort_by("vec_id")
+    x, ids = np.array(rows["embedding"].to_pylist(), np.float64), rows["vec_id"].to_numpy()
+    asked = np.flatnonzero(ids % 20 == 0)
+    hits = seen = 0
+    for q, (at, _, verified) in zip(asked, ann.Index(x, ann.Windows()).search(x[asked], ids[asked], ids, 20)):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores, kind="stable")[:20].tolist()) & set(at.tolist()))
+        seen += verified
+    assert hits / (20 * len(asked)) >= 0.9 and seen < len(asked) * len(ids) / 2
+
+
+def test_windows_count_what_plain_windows_count():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 6))
+    x[50:60] = x[40]  # equal values stand next to each other in every array
+    p = ann.Windows(projections=20, threshold=0.5, verified=0.1)
+    index = ann.Index(x, p)
+    added = np.sqrt(np.maximum(index.bound - (x * x).sum(axis=1), 0))
+    values = x @ index.directions[:-1] + added[:, None] * index.directions[-1]
+    for q, (at, _, verified) in zip(range(20), index.search(x[:20], np.full(20, -1), np.arange(300), 300)):
+        # All that a round verifies lies in enough plain windows of that round's width, and nothing else does.
+        off = np.abs(values - x[q] @ index.directions[:-1])
+        counts = {frozenset(np.flatnonzero((off <= w).sum(axis=1) >= 10).tolist()) for w in p.first * index.unit * p.growth ** np.arange(60)}
+        assert verified == len(at) and frozenset(at.tolist()) in counts
 
 
 def test_neighbours_odd_input(spark):
