@@ -2,10 +2,10 @@
 
 Vectors are packed into blocks; a block's index holds, for each random projection, the projected
 values in sorted order.  A query's windows lie around its own projections.  Virtual rehashing
-widens them round by round, walking and counting only the entries that a window newly covers; a
-vector that falls into the windows of at least ``threshold``
-projections is a candidate and its exact inner product is computed.  A block is done when the
-windows have reached the distance of its k-th best candidate and enough candidates were verified.
+widens them round by round and counts the entries that a window newly covers; a vector that falls
+into the windows of at least ``threshold`` projections is a candidate and its exact inner product is
+computed.  A block is done when the windows have reached the distance of its k-th best candidate
+and enough candidates were verified: a number that grows more slowly than the block.
 
 Largest inner product becomes smallest distance by one added coordinate sqrt(m**2 - |x|**2), m
 being the block's largest norm, and 0 for queries.
@@ -17,6 +17,7 @@ query and block leave the task; vectors are never joined row by row and nothing
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,14 @@ from fieldscope.llm.common import batches, stored
 
 @dataclass(frozen=True)
 class Windows:
-    projections: int = 160
+    projections: int = 128
     #: Share of the projections in whose windows a candidate must lie.
     threshold: float = 0.6
     #: First half width, in units of the block's median distance to its centre; growth per round.
-    first: float = 0.6
-    growth: float = 1.1
-    #: A round may end the search only when this share of the block, and k more, was verified.
-    verified: float = 0.2
+    first: float = 0.85
+    growth: float = 1.08
+    #: A round may end the search only when this many times n**0.75 of a block's n vectors, and k more, were verified.
+    verified: float = 1.15
     seed: int = 11
 
 
@@ -53,8 +54,11 @@ class Index:
         values = vectors @ self.directions[:-1] + added[:, None] * self.directions[-1]
         order = np.argsort(values, axis=0, kind="stable")
         self.sorted = np.take_along_axis(values, order, axis=0).T.copy()
+        # Place of every vector in each sorted array: a window of places is a window of values.
+        self.places = np.empty((params.projections, n), np.uint16)
+        np.put_along_axis(self.places, order.T, np.arange(n, dtype=np.uint16)[None, :], axis=1)
         # Whose value stands at each place: a window is walked as a slice of this array.
-        self.order = list(order.T.astype(np.uint16))
+        self.order = list(np.ascontiguousarray(order.T, np.uint16))
         # Values of random vectors at distance r spread over about r: one scale for all blocks.
         self.unit = float(np.sqrt(self.bound)) or 1.0
 
@@ -65,44 +69,54 @@ class Index:
         centre = queries @ self.directions[:-1]
         lengths = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         need = int(np.ceil(p.threshold * m))
-        quota = min(n, int(np.ceil(p.verified * n)) + k)
-        widths = []
-        half = p.first * self.unit
+        quota = min(n, int(np.ceil(p.verified * n**0.75)) + k)
         reach = max(float(np.abs(self.sorted).max()), float(np.abs(centre).max())) * 2 + 1
-        while half < reach:
-            widths.append(half)
-            half *= p.growth
-        widths.append(reach)
-        # Places of the windows' ends and of their common middle, each (query, projection).
+        # Places of the windows' ends, (query, projection), computed once a round for all queries.
         places = lambda shift, side: np.stack([np.searchsorted(self.sorted[j], centre[:, j] + shift, side) for j in range(m)], axis=1)
-        edges = [(places(-w, "left"), places(w, "right")) for w in widths]
         middle = places(0.0, "left")
+        walked = np.empty(n * m // 6 + 1, np.int64)
+        rounds = []
+
+        def window(step):
+            if step == len(rounds):
+                w = min(reach, p.first * self.unit * p.growth**step)
+                rounds.append((w, places(-w, "left"), places(w, "right")))
+            return rounds[step]
+
         for q in range(len(queries)):
             done, hits = np.zeros(n, bool), np.zeros(n, np.int64)
             found, scores, total = [], [], 0
             low = high = middle[q].tolist()
-            for w, (starts, ends) in zip(widths, edges):
-                # Only what a window newly covers on either side is walked and counted.
+            for step in count():
+                w, starts, ends = window(step)
                 left, right = starts[q].tolist(), ends[q].tolist()
-                pieces = [o[a:b] for o, a, b in zip(self.order, left, low)] + [o[a:b] for o, a, b in zip(self.order, high, right)]
+                # Only what a window newly covers on either side is walked and counted; where that is
+                # much of the arrays, as in a wide first window, comparing all places is less work.
+                size = sum(low) - sum(left) + sum(right) - sum(high)
+                if size * 6 > n * m:
+                    # Unsigned differences wrap around, so one comparison tests both ends of a window.
+                    inside = (self.places - starts[q, :, None].astype(np.uint16)) < (ends - starts)[q, :, None].astype(np.uint16)
+                    hits = inside.view(np.uint8).sum(axis=0, dtype=np.uint8).astype(np.int64)
+                else:
+                    pieces = [o[a:b] for o, a, b in zip(self.order, left, low)] + [o[a:b] for o, a, b in zip(self.order, high, right)]
+                    hits += np.bincount(np.concatenate(pieces, out=walked[:size]), minlength=n)
                 low, high = left, right
-                hits += np.bincount(np.concatenate(pieces), minlength=n)
                 fresh = np.flatnonzero((hits >= need) & ~done)
                 if len(fresh):
                     done[fresh] = True
                     total += len(fresh)
                     found.append(fresh)
                     scores.append(self.vectors[fresh] @ queries[q])
+                if total == n:
+                    break
                 if total >= quota:
                     best = np.concatenate(scores)
                     best = best[ids[np.concatenate(found)] != own[q]]
                     if len(best) >= k:
                         least = np.partition(best, len(best) - k)[len(best) - k]
                         distance = np.sqrt(max(0.0, self.bound + lengths[q] ** 2 - 2 * least))
-                        if total == n or w >= p.first * distance:
+                        if w >= p.first * distance:
                             break
-                    elif total == n:
-                        break
             at, value = np.concatenate(found), np.concatenate(scores)
             other = ids[at] != own[q]
             at, value = at[other], value[other]
@@ -163,8 +177,8 @@ def nearest(
     the query's.  Repeated rows are separate candidates; a repeated query id is answered once, by
     the rows' pooled candidates.  Fewer than k candidates: all of them.  Empty in, empty out.
     """
-    if block_rows > 65_535:
-        raise ValueError("a block's positions are kept in 16 bits")
+    if block_rows > 65_535 or params.projections > 255:
+        raise ValueError("places are kept in 16 bits and collisions in 8")
     data = stored(pack_vectors(vectors, id_col, vec_col, block_rows), "vectors")
     asked = stored(pack_vectors(queries, id_col, vec_col, query_rows).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("n").alias("q_n"), F.col("dim").alias("q_dim")), "queries")
     # Block numbers meet as narrow rows first; the packed bytes are fetched by equi-joins.

@@ -141,7 +141,7 @@ def test_windows_count_what_plain_windows_count():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 6))
     x[50:60] = x[40]  # equal values stand next to each other in every array
-    p = ann.Windows(projections=20, threshold=0.5, verified=0.1)
+    p = ann.Windows(projections=20, threshold=0.5, verified=0.3)
     index = ann.Index(x, p)
     added = np.sqrt(np.maximum(index.bound - (x * x).sum(axis=1), 0))
     values = x @ index.directions[:-1] + added[:, None] * index.directions[-1]
