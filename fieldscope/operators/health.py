@@ -104,12 +104,6 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def _safe_corr(x: str, y: str, constant: float | None) -> Column:
-    flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y)) | (F.count(F.lit(1)) < 2)
-    value = F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
-    return F.when(flat, F.lit(constant).cast("double")).otherwise(value)
-
-
 def column_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str] | None = None, constant: float | None = None, out: str = "corr") -> DataFrame:
     """Pearson correlation of column pairs (all i < j of ``left``, or left x right), pairwise complete.
 
@@ -167,16 +161,6 @@ def _co_moments(parts, names: list[tuple[str, str]], columns: list[str]):
     yield pa.RecordBatch.from_arrays([pa.array(c) if i > 1 else pa.array(c, pa.string()) for i, c in enumerate(cols)], ["left", "right", "n", "mx", "my", "xx", "yy", "xy", "lx", "hx", "ly", "hy"])
 
 
-def entry_pairs(df: DataFrame, ordered: bool, constant: float | None = None, out: str = "corr") -> DataFrame:
-    """Pair correlation of two entry lists per row (columns ``l`` and ``r`` of struct<i, c, v>)."""
-    d = df.withColumn("x", F.explode("l")).where(F.col("x.v").isNotNull())
-    d = d.select("x", F.explode("r").alias("y")).where(F.col("y.v").isNotNull())
-    if ordered:
-        d = d.where(F.col("x.i") < F.col("y.i"))
-    d = d.select(F.col("x.c").alias("left"), F.col("y.c").alias("right"), F.col("x.v").alias("x"), F.col("y.v").alias("y"))
-    return d.groupBy("left", "right").agg(_safe_corr("x", "y", constant).alias(out))
-
-
 def strong_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.where(F.abs("corr") >= threshold).withColumn("abs_corr", F.abs("corr"))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +12,10 @@ from pyspark.sql import types as T
 
 from fieldscope.functions.ordered import top_k
 from fieldscope.functions.ranks import average_rank, value_ranks
+from fieldscope.functions.text import finite
 from fieldscope.operators.features import CONTEXT, GROUPS
-from fieldscope.operators.health import entry_pairs
+from fieldscope.operators.health import column_pairs
+from fieldscope.session import stored
 
 # Fixed weights of the confidence words.
 CONFIDENCE = {"high": 1.0, "medium": 0.7, "low": 0.4}
@@ -29,21 +33,20 @@ def probe_group(probe: Column, context: Sequence[str] = CONTEXT) -> Column:
 def axis_probe_corr(emb: DataFrame, matrix: DataFrame, axes: Sequence[str], probes: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Pearson and Spearman of every axis with every probe over the joined rows.
 
-    Rows with a missing value are dropped; constant columns give null.  Values and
-    their average ranks travel as one short list per row (one entry per column).
+    Rows with a missing value are dropped, ranks are those of the rows that stay; constant columns
+    give null.  Each column is ranked once, then values and ranks give one co-moment matrix each:
+    no pair of columns becomes a row.
     """
     keys, cols = list(keys), [*axes, *probes]
     d = emb.select(*keys, *axes).join(matrix.select(*keys, *probes), keys)
+    d = stored(d.where(reduce(and_, [finite(F.col(c).cast("double")) for c in cols])), "probe_rows")
     long = d.unpivot(keys, cols, "c", "v")
     r = value_ranks(long, ["c"], "v")
-    r = r.select("c", F.col("value").alias("v"), average_rank(r).alias("rank"))
-    rows = long.join(r, ["c", "v"]).groupBy(*keys).agg(F.collect_list(F.struct(F.lit(0).alias("i"), "c", "v", "rank")).alias("e"))
-    rows = rows.where(F.size("e") == len(cols))
-    pick = lambda names, v: F.transform(
-        F.filter("e", lambda x: x["c"].isin(list(names))), lambda x: F.struct(x["i"].alias("i"), x["c"].alias("c"), x[v].alias("v"))
-    )
-    pearson = entry_pairs(rows.select(pick(axes, "v").alias("l"), pick(probes, "v").alias("r")), False, out="pearson")
-    spearman = entry_pairs(rows.select(pick(axes, "rank").alias("l"), pick(probes, "rank").alias("r")), False, out="spearman")
+    ranked = long.join(r.select("c", F.col("value").alias("v"), average_rank(r).alias("rank")), ["c", "v"])
+    of = lambda c, x: F.max(F.when(F.col("c") == c, F.col(x)))
+    wide = ranked.groupBy(*keys).agg(*[of(c, "rank").alias(c) for c in cols]).select(*cols)
+    pearson = column_pairs(d, axes, probes, out="pearson")
+    spearman = column_pairs(wide, axes, probes, out="spearman")
     out = pearson.join(spearman, ["left", "right"])
     return out.select(F.col("left").alias("axis"), F.col("right").alias("probe"), probe_group(F.col("right")).alias("feature_group"), "pearson", "spearman")
 
